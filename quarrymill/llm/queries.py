@@ -8,14 +8,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import near_duplicates as nd
+from quarrymill.llm import packing, reading_level, similar_vectors, splitting, tokens
 from quarrymill.runtime import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of cosine 0.8 or more, one among the 10 most similar of the other."""
+    return similar_vectors.similar_pairs(table(spark, d, "chunk_vectors"), "vector_id", "vec").select(F.col("a").alias("vector_id_a"), F.col("b").alias("vector_id_b"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks of at least 50 words whose sets of 3-word runs reach a Jaccard similarity of 0.5."""
     member, links = nd.near_duplicates(table(spark, d, "chunks"), "chunk_id", "text", size=3, threshold=0.5, least_words=50)
     return nd.duplicate_pairs(member, links).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut by the splitter: biographies and chunks of more than 1,500 characters."""
+    bio = splitting.oversized(table(spark, d, "profiles"), ["profile_id"], "biography").select(F.lit("biography").alias("kind"), F.col("profile_id").alias("item_id"))
+    chunk = splitting.oversized(table(spark, d, "chunks"), ["chunk_id"], "text").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("item_id"))
+    return bio.unionByName(chunk)
+
+
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces themselves, short texts as one piece."""
+    bio = splitting.split_texts(table(spark, d, "profiles").withColumnRenamed("profile_id", "item_id"), ["item_id"], "biography").withColumn("kind", F.lit("biography"))
+    chunk = splitting.split_texts(table(spark, d, "chunks").withColumnRenamed("chunk_id", "item_id"), ["item_id"], "text").withColumn("kind", F.lit("chunk"))
+    return bio.unionByName(chunk)
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document by byte_bpe_50k."""
+    return tokens.encode_column(table(spark, d, "documents"), ["doc_id"], "text")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    sizes = p8_ids(spark, d).select("doc_id", F.size("ids").alias("n_tokens"))
+    return packing.pack(sizes, "doc_id", "n_tokens")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reading band of English documents of at least 60 words."""
+    return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "band_labels")).select("doc_id", "band")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
