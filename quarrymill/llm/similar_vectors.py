@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from quarrymill.runtime import slots, stored
 
 SAMPLE = 40_000
-CELL = 48
+CELLS_ROOT = 0.25
+EFFORT = 7.0
 MOST_CENTROIDS = 512
-BLOCK = 4096
-VISIT = 700
+SLAB = 16_384
+BLOCK = 16_384
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -118,19 +119,40 @@ def _lists(col: pa.Array) -> Iterator[np.ndarray]:
     return (values[a:b] for a, b in zip(ends[:-1], ends[1:]))
 
 
-def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, enough: int = VISIT) -> DataFrame:
-    """(q, n, score, copies): for each entry the k most similar others among those visited, with score >= least."""
+def slabs_of(counts: np.ndarray, k1: int, k2: int, most: int = SLAB) -> np.ndarray:
+    """Slab of each cell: neighbouring cells of one first-half centroid, together at most ``most`` entries unless one cell has more."""
+    out = np.empty(k1 * k2, np.int32)
+    slab, held = -1, 0
+    for i in range(k1):
+        slab, held = slab + 1, 0
+        for c in range(i * k2, (i + 1) * k2):
+            if held and held + counts[c] > most:
+                slab, held = slab + 1, 0
+            out[c] = slab
+            held += counts[c]
+    return out
+
+
+def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, effort: float = EFFORT) -> DataFrame:
+    """(q, n, score, copies, rank): for each entry the k most similar others among those visited, with score >= least.
+
+    A query visits cells until they hold effort * sqrt(number of entries); cells hold CELLS_ROOT * sqrt(number)
+    on average, so the number of visited cells is the same at every size.
+    """
     spark = vectors.sparkSession
     sc = spark.sparkContext
     total = vectors.count()
     if not total:
-        return spark.createDataFrame([], "q long, n long, score double, copies long")
+        return spark.createDataFrame([], "q long, n long, score double, copies long, rank int")
     sample = vectors.orderBy(F.xxhash64("entry")).limit(SAMPLE).select("vec").toPandas()["vec"]
-    dim = len(sample[0]) // 4
+    dim = max(len(v) for v in sample) // 4
     x = _unit(np.frombuffer(b"".join(v for v in sample if len(v) == 4 * dim), "<f4").reshape(-1, dim)).astype(np.float32)
     half = dim // 2
-    kk = int(np.clip(round((total / CELL) ** 0.5), 1, MOST_CENTROIDS))
+    enough = int(max(10 * k, effort * total**0.5))
+    kk = int(np.clip(round((total / (CELLS_ROOT * total**0.5)) ** 0.5), 1, MOST_CENTROIDS))
     c1, c2 = kmeans(x[:, :half], kk), kmeans(x[:, half:], kk)
+    # along their main axis, so that neighbouring numbers are neighbouring centroids
+    c2 = c2[np.argsort((c2 - c2.mean(axis=0)) @ np.linalg.svd(c2 - c2.mean(axis=0), full_matrices=False)[2][0])]
     k2 = len(c2)
     books = sc.broadcast((c1, c2))  # at most MOST_CENTROIDS rows each
 
@@ -149,77 +171,93 @@ def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, enough: int
     counts = np.zeros(len(c1) * k2, np.int64)
     for r in indexed.groupBy("cell").count().collect():  # one row a cell, at most MOST_CENTROIDS squared
         counts[r["cell"]] = r["count"]
-    sizes = sc.broadcast(counts)
+    tables = sc.broadcast((counts, slabs_of(counts, len(c1), k2)))
+    names = ["slab", "part", "side", "entry", "vec", "copies", "cells"]
+    form = "slab int, part int, side byte, entry long, vec binary, copies long, cells binary"
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b1, b2 = books.value
-        n = sizes.value.tolist()
+        count, slab_of = tables.value
+        n, slab_list = count.tolist(), slab_of.tolist()
         for b in batches:
             v = b.column("vec")
             u = _unit(_matrix(v, dim)).astype(np.float32)
             d1, d2 = half_distances(u[:, :half], b1), half_distances(u[:, half:], b2)
             for lo in range(0, len(u), 2000):
-                row, cell, part = [], [], []
+                row, slab, part, cells = [], [], [], []
                 for i in range(lo, min(lo + 2000, len(u))):
+                    to: dict[int, list[int]] = {}
                     for c in visit(d1[i], d2[i], n, enough):
-                        for p in range(-(-n[c] // BLOCK)):
+                        to.setdefault(slab_list[c], []).append(c)
+                    for s, cs in to.items():
+                        raw = np.asarray(cs, "<i4").tobytes()
+                        for p in range(max(-(-n[c] // BLOCK) for c in cs)):
                             row.append(i)
-                            cell.append(c)
+                            slab.append(s)
                             part.append(p)
-                take = pa.array(row, pa.int64())
-                m = len(row)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(np.ones(m, np.int8)), b.column("entry").take(take), v.take(take), pa.array(np.zeros(m, np.int64))], ["cell", "part", "side", "entry", "vec", "copies"])
-
-    form = "cell int, part int, side byte, entry long, vec binary, copies long"
-    asked = indexed.mapInArrow(visits, form)
+                            cells.append(raw)
+                m, take = len(row), pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(slab, pa.int32()), pa.array(part, pa.int32()), pa.array(np.ones(m, np.int8)), b.column("entry").take(take), v.take(take), pa.array(np.zeros(m, np.int64)), pa.array(cells, pa.binary())], names)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sizes.value
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, slab_of = tables.value
         for b in batches:
             cell = b.column("cell").to_numpy(zero_copy_only=False)
-            many = np.maximum(-(-n[cell] // BLOCK), 1)
+            many = np.maximum(-(-count[cell] // BLOCK), 1)
             e = b.column("entry").to_numpy(zero_copy_only=False)
             part = (((e * 0x9E3779B1) & 0x7FFFFFFF) >> 7) % many
-            yield pa.RecordBatch.from_arrays([b.column("cell"), pa.array(part.astype(np.int32)), pa.array(np.zeros(len(e), np.int8)), b.column("entry"), b.column("vec"), b.column("copies")], ["cell", "part", "side", "entry", "vec", "copies"])
-
-    held = indexed.mapInArrow(place, form)
+            raw = [x.tobytes() for x in cell.astype("<i4")]
+            yield pa.RecordBatch.from_arrays([pa.array(slab_of[cell]), pa.array(part.astype(np.int32)), pa.array(np.zeros(len(e), np.int8)), b.column("entry"), b.column("vec"), b.column("copies"), pa.array(raw, pa.binary())], names)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, copies, base = None, None, None, None
+        at, block, sorted_block = None, [], None
         for b in batches:
-            cell, part, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "side"))
+            slab, part, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("slab", "part", "side"))
             entry, m = b.column("entry").to_numpy(zero_copy_only=False), b.column("copies").to_numpy(zero_copy_only=False)
             u = _unit(_matrix(b.column("vec"), dim))
-            cuts = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0), True])
-            q, nb, sc_, cp = [], [], [], []
+            cells = b.column("cells").to_pylist()
+            cuts = np.flatnonzero(np.r_[True, (np.diff(slab) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0), True])
+            out = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                name = (cell[lo], part[lo])
+                name = (slab[lo], part[lo])
                 if side[lo] == 0:
-                    if at == name:  # the block went on in the next batch
-                        ids, copies, base = np.r_[ids, entry[lo:hi]], np.r_[copies, m[lo:hi]], np.r_[base, u[lo:hi]]
-                    else:
-                        at, ids, copies, base = name, entry[lo:hi], m[lo:hi], u[lo:hi]
+                    if at != name:
+                        at, block, sorted_block = name, [], None
+                    block.append((np.frombuffer(b"".join(cells[lo:hi]), "<i4"), entry[lo:hi], m[lo:hi], u[lo:hi]))
                     continue
                 if at != name:
-                    continue
-                s = u[lo:hi] @ base.T
-                s[entry[lo:hi][:, None] == ids[None, :]] = -2
-                if s.shape[1] > k:
-                    # scores below the k-th of the row go
-                    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                    s = np.where(s >= kth[:, None], s, -2)
-                i, j = np.nonzero(s >= max(least, -1.5))
-                q.append(entry[lo:hi][i])
-                nb.append(ids[j])
-                sc_.append(s[i, j])
-                cp.append(copies[j])
-            if q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(nb)), pa.array(np.concatenate(sc_)), pa.array(np.concatenate(cp))], ["q", "n", "score", "copies"])
+                    continue  # no entry fell into this part
+                if sorted_block is None:
+                    cell, ids, copies, base = (np.concatenate(c) for c in zip(*block))
+                    o = np.argsort(cell, kind="stable")
+                    sorted_block = cell[o], ids[o], copies[o], base[o]
+                cell, ids, copies, base = sorted_block
+                want = np.frombuffer(b"".join(cells[lo:hi]), "<i4")
+                who = np.repeat(np.arange(lo, hi), [len(c) // 4 for c in cells[lo:hi]])
+                o = np.argsort(want, kind="stable")
+                want, who = want[o], who[o]
+                edge = np.flatnonzero(np.r_[True, np.diff(want) != 0, True])
+                for p, q in zip(edge[:-1], edge[1:]):
+                    first, last = np.searchsorted(cell, [want[p], want[p] + 1])
+                    if first == last:
+                        continue
+                    w = who[p:q]
+                    s = u[w] @ base[first:last].T
+                    s[entry[w][:, None] == ids[None, first:last]] = -2
+                    if s.shape[1] > k:
+                        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                        s = np.where(s >= kth[:, None], s, -2)
+                    i, j = np.nonzero(s >= max(least, -1.5))
+                    if len(i):
+                        out.append((entry[w][i], ids[first:last][j], s[i, j], copies[first:last][j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["q", "n", "score", "copies"])
 
     near = (
-        held.unionByName(asked)
-        .repartition(max(slots(spark), int(total * 12 // 300_000) + 1), "cell", "part")
-        .sortWithinPartitions("cell", "part", "side")
+        indexed.mapInArrow(held, form)
+        .unionByName(indexed.mapInArrow(asked, form))
+        .repartition(max(slots(spark), int(total * 5 // 100_000) + 1), "slab", "part")
+        .sortWithinPartitions("slab", "part", "side")
         .mapInArrow(rerank, "q long, n long, score double, copies long")
     )
     best = W.partitionBy("q").orderBy(F.desc("score"), "n")

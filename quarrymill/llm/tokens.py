@@ -66,6 +66,7 @@ def encode_column(df: DataFrame, keys: list[str], text: str, path: str | None =
     src = df.select(*keys, F.col(text).alias("_text"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", ids array<int>" + (", starts array<int>" if offsets else "")
     ints = pa.list_(pa.int32())
+    names = list(src.columns[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(file)
@@ -79,7 +80,7 @@ def encode_column(df: DataFrame, keys: list[str], text: str, path: str | None =
                     if offsets:
                         starts.append(np.asarray([o[0] for o in e.offsets], np.int32))
             cols = [b.column(i) for i in range(b.num_columns - 1)] + [_lists(ids, ints)] + ([_lists(starts, ints)] if offsets else [])
-            yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in src.schema.fields[:-1]), "ids", *(["starts"] if offsets else [])])
+            yield pa.RecordBatch.from_arrays(cols, [*names, "ids", *(["starts"] if offsets else [])])
 
     return src.mapInArrow(run, out)
 
@@ -110,10 +111,11 @@ def decode_column(df: DataFrame, keys: list[str], ids: str, path: str | None = N
     file = path or tokenizer_path()
     src = df.select(*keys, F.col(ids).alias("_ids"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", text string"
+    names = list(src.columns[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [None if x is None else decode_ids(x, file) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(texts, pa.string())], [*(f.name for f in src.schema.fields[:-1]), "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(texts, pa.string())], [*names, "text"])
 
     return src.mapInArrow(run, out)
