@@ -55,3 +55,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
