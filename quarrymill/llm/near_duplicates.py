@@ -10,7 +10,12 @@ threshold, for any global order. The order comes from a table of gram counts wit
 (``ORDER_SLOTS``), which is what makes it small enough to hand to every task at any input size; slots hold
 sums over all rows, and a shared slot only makes the order less sharp, never the result wrong.
 
-Equal sets are one class before the join, so copies cost nothing until the result is expanded.
+Each text also carries a parity bitmap of its set. The bits in which two bitmaps differ bound the number of
+grams the sets do not share from below, so most pairs that only share stock phrases end in the fragment in
+which they meet; no pair that reaches the threshold can be lost by it.
+
+Equal sets are one class before the join, so copies cost nothing until the result is expanded. Grams are
+hashes of GRAM_BYTES bytes; two different grams of one pair fall together with a chance of about 1e-8.
 """
 
 from __future__ import annotations
@@ -27,12 +32,26 @@ from quarrymill.llm.words import WordHash, gram_set, words_of
 from quarrymill.runtime import slots, stored
 
 ORDER_SLOTS = 1 << 18
-FRAGMENT_GRAMS = 400_000
+FRAGMENT_GRAMS = 1_000_000
+GRAM_BYTES = 5
+BITMAP = 256
 PAIR_BLOCK = 4_000_000
 
 
+def pack_grams(g: np.ndarray) -> bytes:
+    """The low GRAM_BYTES bytes of each hash."""
+    return np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
+
+
+def unpack_grams(raw: bytes) -> np.ndarray:
+    part = np.frombuffer(raw, np.uint8).reshape(-1, GRAM_BYTES)
+    whole = np.zeros((len(part), 8), np.uint8)
+    whole[:, :GRAM_BYTES] = part
+    return whole.view("<u8").ravel()
+
+
 def gram_sets(df: DataFrame, key: str, text: str, size: int, least_words: int) -> DataFrame:
-    """One row per text of at least ``least_words`` words: key, sig (of the set), n, grams (uint64 bytes)."""
+    """One row per text of at least ``least_words`` words: key, sig (of the set), n, grams (sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -43,11 +62,11 @@ def gram_sets(df: DataFrame, key: str, text: str, size: int, least_words: int) -
                 if len(w) < max(least_words, size):
                     continue
                 g = gram_set(w, size, hashes)
-                raw = g.tobytes()
                 ids.append(i)
+                sig.append(blake2b(g.tobytes(), digest_size=16).digest())
+                g = np.unique(g & np.uint64((1 << 8 * GRAM_BYTES) - 1))
                 n.append(len(g))
-                sig.append(blake2b(raw, digest_size=16).digest())
-                grams.append(raw)
+                grams.append(pack_grams(g))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(grams, pa.binary())], ["key", "sig", "n", "grams"])
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
@@ -61,9 +80,9 @@ def gram_order(sets: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_SLOTS, np.int64)
         for b in batches:
-            col = b.column(0)
-            for k in range(len(col)):
-                total[np.frombuffer(col[k].as_py(), np.uint64) & np.uint64(ORDER_SLOTS - 1)] += 1
+            if b.num_rows:
+                every = unpack_grams(b"".join(b.column(0).to_pylist())) & np.uint64(ORDER_SLOTS - 1)
+                total += np.bincount(every.astype(np.int64), minlength=ORDER_SLOTS)
         if total.any():
             # a table is sent in 64 parts, so that summing is spread too; counts fit 4 bytes within one task
             for p, part in enumerate(np.split(total.astype("<i4"), 64)):
@@ -105,45 +124,57 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rk, fr = shared.value
-        for b in batches:
-            keys = b.column("key").to_numpy(zero_copy_only=False)
-            ns = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            col = b.column("grams")
-            tok, own, pos, idx, frg = [], [], [], [], []
-            for k in range(len(keys)):
-                g = np.frombuffer(col[k].as_py(), np.uint64)
-                n = len(g)
-                probe = n - int(_ceil(t * n)) + 1
-                index = n - int(_ceil(2 * t / (1 + t) * n)) + 1
-                r = rk[g & np.uint64(ORDER_SLOTS - 1)]
-                o = np.lexsort((g, r))[:probe]
-                tok.append(g[o])
-                own.append(np.full(len(o), k, np.int32))
-                p = np.arange(len(o), dtype=np.int32)
-                pos.append(p)
-                idx.append(p < index)
-                frg.append(fr[r[o]])
-            if not tok:
-                continue
-            tok, own, pos, idx, frg = map(np.concatenate, (tok, own, pos, idx, frg))
-            by = np.argsort(frg, kind="stable")
-            cuts = np.searchsorted(frg[by], np.arange(fragments + 1))
-            rows = []
-            for f in range(fragments):
-                at = by[cuts[f] : cuts[f + 1]]
-                if len(at):
-                    o = own[at]
-                    rows.append((f, tok[at].tobytes(), keys[o].astype("<i8").tobytes(), ns[o].astype("<i4").tobytes(), (pos[at] * 2 + idx[at]).astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3, 4)], ["frag", "tok", "key", "n", "at"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1 << 15):
+                b = whole.slice(lo, 1 << 15)
+                keys = b.column("key").to_numpy(zero_copy_only=False).astype("<i8")
+                ns = b.column("n").to_numpy(zero_copy_only=False).astype("<i4")
+                tok, own, at, frg = [], [], [], []
+                bits = np.zeros((len(keys), BITMAP // 8), np.uint8)
+                for k, raw in enumerate(b.column("grams").to_pylist()):
+                    g = unpack_grams(raw)
+                    n = len(g)
+                    probe = n - int(_ceil(t * n)) + 1
+                    index = n - int(_ceil(2 * t / (1 + t) * n)) + 1
+                    bits[k] = np.packbits(np.bincount((g >> np.uint64(20)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1)
+                    r = rk[g & np.uint64(ORDER_SLOTS - 1)]
+                    o = np.argsort((r << 20) + ((g >> np.uint64(20)).astype(np.int64) & 0xFFFFF), kind="stable")[:probe]
+                    tok.append(((g[o] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype("<u4"))
+                    own.append(np.full(len(o), k, "<u2"))
+                    p = np.arange(len(o), dtype="<u4")
+                    at.append(p * 2 + (p < index))
+                    frg.append(fr[r[o]])
+                if not tok:
+                    continue
+                tok, own, at, frg = map(np.concatenate, (tok, own, at, frg))
+                by = np.argsort(frg, kind="stable")
+                cuts = np.searchsorted(frg[by], np.arange(fragments + 1))
+                rows = []
+                for f in range(fragments):
+                    w = by[cuts[f] : cuts[f + 1]]
+                    if len(w):
+                        # the texts of this fragment once, their grams by place in that list
+                        there, place = np.unique(own[w], return_inverse=True)
+                        width = 2 if at[w].max() < 1 << 16 else 4
+                        rows.append((f, tok[w].tobytes(), place.astype("<u2").tobytes(), at[w].astype(f"<u{width}").tobytes(), width, keys[there].tobytes(), ns[there].tobytes(), bits[there].tobytes()))
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["frag", "tok", "own", "at", "width", "key", "n", "bits"])
 
     def overlaps(key: tuple, table: pa.Table) -> pa.Table:
-        tok = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tok").to_pylist()])
-        own = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("key").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("n").to_pylist()])
-        at = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("at").to_pylist()])
+        def column(name: str, kind: str) -> list[np.ndarray]:
+            return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+
+        tok = np.concatenate(column("tok", "<u4"))
+        at = np.concatenate([np.frombuffer(x, f"<u{w}").astype(np.int64) for x, w in zip(table.column("at").to_pylist(), table.column("width").to_pylist())])
+        keys, sizes = column("key", "<i8"), column("n", "<i4")
+        shift = np.cumsum([0, *map(len, keys)])
+        doc = np.concatenate([p.astype(np.int64) + s for p, s in zip(column("own", "<u2"), shift)])
+        bits = np.concatenate(column("bits", "<u8")).reshape(-1, BITMAP // 64)
+        keys, sizes = np.concatenate(keys), np.concatenate(sizes).astype(np.int64)
+        own, n = keys[doc], sizes[doc]
         # within a gram: by size, then key; a text then meets only those not smaller than itself
         o = np.lexsort((own, n, tok))
-        tok, own, n, at = tok[o], own[o], n[o].astype(np.int64), at[o]
+        tok, own, n, at, doc = tok[o], own[o], n[o], at[o], doc[o]
         new = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         end = np.r_[new[1:], len(tok)]
         stop = np.repeat(end, end - new)
@@ -162,6 +193,11 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
             need = _ceil(t / (1 + t) * (n[i] + n[j]))
             pi, pj = (at[i] >> 1).astype(np.int64), (at[j] >> 1).astype(np.int64)
             ok = np.minimum(pi, pj) + 1 + np.minimum(n[i] - pi, n[j] - pj) - 1 >= need
+            i, j, pi, pj, need = i[ok], j[ok], pi[ok], pj[ok], need[ok]
+            apart = np.zeros(len(i), np.int64)
+            for word in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[doc[i], word] ^ bits[doc[j], word])
+            ok = n[i] + n[j] - apart >= 2 * need
             i, j, pi, pj = i[ok], j[ok], pi[ok], pj[ok]
             if not len(i):
                 continue
@@ -170,7 +206,7 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
             return _pair_table(*(np.empty(0, np.int64) for _ in range(7)))
         return _pair_table(*(_sum_pairs(*(np.concatenate(c) for c in zip(*out))) if len(out) > 1 else out[0]))
 
-    pairs = reps.select("key", "n", "grams").mapInArrow(spread, "frag int, tok binary, key binary, n binary, at binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(overlaps, "x long, y long, nx int, ny int, cnt int, px int, py int")
+    pairs = reps.select("key", "n", "grams").mapInArrow(spread, "frag int, tok binary, own binary, at binary, width int, key binary, n binary, bits binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(overlaps, "x long, y long, nx int, ny int, cnt int, px int, py int")
     possible = (
         pairs.groupBy("x", "y")
         .agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("cnt").alias("cnt"), F.max("px").alias("px"), F.max("py").alias("py"))
@@ -186,7 +222,7 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
             gx, gy = b.column("gx"), b.column("gy")
             keep = np.zeros(len(x), bool)
             for k in range(len(x)):
-                p, q = np.frombuffer(gx[k].as_py(), np.uint64), np.frombuffer(gy[k].as_py(), np.uint64)
+                p, q = unpack_grams(gx[k].as_py()), unpack_grams(gy[k].as_py())
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep[k] = both >= t * (len(p) + len(q) - both) - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], ["a", "b"])
