@@ -35,6 +35,8 @@ ORDER_SLOTS = 1 << 18
 FRAGMENT_GRAMS = 1_000_000
 GRAM_BYTES = 5
 BITMAP = 256
+#: Sets of more than LONG grams carry a wider bitmap as well.
+LONG, WIDE = 128, 1024
 PAIR_BLOCK = 4_000_000
 
 
@@ -131,12 +133,16 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
                 ns = b.column("n").to_numpy(zero_copy_only=False).astype("<i4")
                 tok, own, at, frg = [], [], [], []
                 bits = np.zeros((len(keys), BITMAP // 8), np.uint8)
+                wide = np.zeros((len(keys), WIDE // 8), np.uint8)
                 for k, raw in enumerate(b.column("grams").to_pylist()):
                     g = unpack_grams(raw)
                     n = len(g)
                     probe = n - int(_ceil(t * n)) + 1
                     index = n - int(_ceil(2 * t / (1 + t) * n)) + 1
-                    bits[k] = np.packbits(np.bincount((g >> np.uint64(20)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1)
+                    odd = np.bincount((g >> np.uint64(20)).astype(np.int64) & (WIDE - 1), minlength=WIDE) & 1
+                    bits[k] = np.packbits(odd.reshape(-1, BITMAP).sum(axis=0) & 1)
+                    if n > LONG:
+                        wide[k] = np.packbits(odd)
                     r = rk[g & np.uint64(ORDER_SLOTS - 1)]
                     o = np.argsort((r << 20) + ((g >> np.uint64(20)).astype(np.int64) & 0xFFFFF), kind="stable")[:probe]
                     tok.append(((g[o] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype("<u4"))
@@ -156,9 +162,9 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
                         # the texts of this fragment once, their grams by place in that list
                         there, place = np.unique(own[w], return_inverse=True)
                         width = 2 if at[w].max() < 1 << 16 else 4
-                        rows.append((f, tok[w].tobytes(), place.astype("<u2").tobytes(), at[w].astype(f"<u{width}").tobytes(), width, keys[there].tobytes(), ns[there].tobytes(), bits[there].tobytes()))
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["frag", "tok", "own", "at", "width", "key", "n", "bits"])
+                        rows.append((f, tok[w].tobytes(), place.astype("<u2").tobytes(), at[w].astype(f"<u{width}").tobytes(), width, keys[there].tobytes(), ns[there].tobytes(), bits[there].tobytes(), wide[there[ns[there] > LONG]].tobytes()))
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["frag", "tok", "own", "at", "width", "key", "n", "bits", "wide"])
 
     def overlaps(key: tuple, table: pa.Table) -> pa.Table:
         def column(name: str, kind: str) -> list[np.ndarray]:
@@ -170,7 +176,9 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
         shift = np.cumsum([0, *map(len, keys)])
         doc = np.concatenate([p.astype(np.int64) + s for p, s in zip(column("own", "<u2"), shift)])
         bits = np.concatenate(column("bits", "<u8")).reshape(-1, BITMAP // 64)
+        wide = np.concatenate(column("wide", "<u8")).reshape(-1, WIDE // 64)
         keys, sizes = np.concatenate(keys), np.concatenate(sizes).astype(np.int64)
+        wide_at = np.cumsum(sizes > LONG) - 1
         own, n = keys[doc], sizes[doc]
         # within a gram: by size, then key; a text then meets only those not smaller than itself
         o = np.lexsort((own, n, tok))
@@ -194,10 +202,11 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
             pi, pj = (at[i] >> 1).astype(np.int64), (at[j] >> 1).astype(np.int64)
             ok = np.minimum(pi, pj) + 1 + np.minimum(n[i] - pi, n[j] - pj) - 1 >= need
             i, j, pi, pj, need = i[ok], j[ok], pi[ok], pj[ok], need[ok]
-            apart = np.zeros(len(i), np.int64)
-            for word in range(bits.shape[1]):
-                apart += np.bitwise_count(bits[doc[i], word] ^ bits[doc[j], word])
-            ok = n[i] + n[j] - apart >= 2 * need
+            ok = n[i] + n[j] - _differ(bits, doc[i], doc[j]) >= 2 * need
+            i, j, pi, pj, need = i[ok], j[ok], pi[ok], pj[ok], need[ok]
+            both = np.flatnonzero((n[i] > LONG) & (n[j] > LONG))
+            ok = np.ones(len(i), bool)
+            ok[both] = n[i[both]] + n[j[both]] - _differ(wide, wide_at[doc[i[both]]], wide_at[doc[j[both]]]) >= 2 * need[both]
             i, j, pi, pj = i[ok], j[ok], pi[ok], pj[ok]
             if not len(i):
                 continue
@@ -206,7 +215,7 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
             return _pair_table(*(np.empty(0, np.int64) for _ in range(7)))
         return _pair_table(*(_sum_pairs(*(np.concatenate(c) for c in zip(*out))) if len(out) > 1 else out[0]))
 
-    pairs = reps.select("key", "n", "grams").mapInArrow(spread, "frag int, tok binary, own binary, at binary, width int, key binary, n binary, bits binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(overlaps, "x long, y long, nx int, ny int, cnt int, px int, py int")
+    pairs = reps.select("key", "n", "grams").mapInArrow(spread, "frag int, tok binary, own binary, at binary, width int, key binary, n binary, bits binary, wide binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(overlaps, "x long, y long, nx int, ny int, cnt int, px int, py int")
     possible = (
         pairs.groupBy("x", "y")
         .agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("cnt").alias("cnt"), F.max("px").alias("px"), F.max("py").alias("py"))
@@ -235,6 +244,15 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
     )
 
 
+def _differ(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmaps of i and j differ."""
+    out = np.zeros(len(i), np.int64)
+    for word in range(bits.shape[1]):
+        column = np.ascontiguousarray(bits[:, word])
+        out += np.bitwise_count(column[i] ^ column[j])
+    return out
+
+
 def _blocks(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Consecutive ranges whose sizes sum to about ``limit`` at most (one item may exceed it)."""
     if not len(sizes):
