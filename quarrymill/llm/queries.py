@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import near_duplicates as nd
-from quarrymill.llm import packing, reading_level, similar_vectors, splitting, tokens
+from quarrymill.llm import encodings, packing, reading_level, similar_vectors, splitting, tokens
 from quarrymill.runtime import table
 
 
@@ -23,6 +23,27 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.duplicate_pairs(member, links).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def page_rows(crawls: DataFrame) -> DataFrame:
+    """One row per page: crawl_id, page_no from 0, url, html."""
+    return crawls.select("crawl_id", F.posexplode("pages").alias("page_no", "p")).select("crawl_id", "page_no", F.col("p.url").alias("url"), F.col("p.html").alias("html"))
+
+
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    page = page_rows(table(spark, d, "crawl_results")).select(F.lit("page").alias("kind"), F.col("crawl_id").alias("row_id"), "page_no", F.col("html").alias("text"))
+    bio = table(spark, d, "profiles").select(F.lit("biography").alias("kind"), F.col("profile_id").alias("row_id"), F.lit(-1).alias("page_no"), F.col("biography").alias("text"))
+    return page.unionByName(bio)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and biographies with wrongly decoded text, restorable or not."""
+    return encodings.garbled(_encoded(spark, d), ["kind", "row_id", "page_no"], "text").select("kind", "row_id", "page_no")
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the restored text, null where characters are lost."""
+    return encodings.garbled(_encoded(spark, d), ["kind", "row_id", "page_no"], "text", with_text=True)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut by the splitter: biographies and chunks of more than 1,500 characters."""
     bio = splitting.oversized(table(spark, d, "profiles"), ["profile_id"], "biography").select(F.lit("biography").alias("kind"), F.col("profile_id").alias("item_id"))
