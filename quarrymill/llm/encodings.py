@@ -150,7 +150,11 @@ class CharModel:
         return np.add.reduceat(np.where(real, each, 0), np.r_[0, ends[:-1]])
 
     def _logp(self, text: str) -> np.ndarray:
-        s1, s2, s3 = self.slots(text)
+        return self.logp_at(self.slots(text))
+
+    def logp_at(self, slots: list[np.ndarray]) -> np.ndarray:
+        """Log probability of each character, by its slots."""
+        s1, s2, s3 = slots
         c1, c2, c3 = self.counts[0][s1], self.counts[1][s2], self.counts[2][s3]
         total = max(int(self.counts[0].sum()) if not hasattr(self, "total") else self.total, 1)
         b1, b2 = np.r_[0, c1[:-1]], np.r_[0, c2[:-1]]

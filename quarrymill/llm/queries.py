@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import near_duplicates as nd
-from quarrymill.llm import encodings, packing, reading_level, similar_vectors, splitting, tokens
+from quarrymill.llm import encodings, packing, page_text, reading_level, similar_vectors, splitting, tokens
 from quarrymill.runtime import table
 
 
@@ -28,6 +28,20 @@ def page_rows(crawls: DataFrame) -> DataFrame:
     return crawls.select("crawl_id", F.posexplode("pages").alias("page_no", "p")).select("crawl_id", "page_no", F.col("p.url").alias("url"), F.col("p.html").alias("html"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without content of their own, and reasons that are no failure code but such text (page_no -1)."""
+    crawls = table(spark, d, "crawl_results")
+    read, tables = page_text.read_pages(page_rows(crawls), ["crawl_id", "page_no"], "url", "html")
+    reasons = page_text.residue_texts(crawls, ["crawl_id"], "reason", tables).select("crawl_id", F.lit(-1).alias("page_no"))
+    return read.where("residue").select("crawl_id", "page_no").unionByName(reasons)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the main body of every page that has one."""
+    read, _ = page_text.read_pages(page_rows(table(spark, d, "crawl_results")), ["crawl_id", "page_no"], "url", "html")
+    return read.where(~F.col("residue")).select("crawl_id", "page_no", F.explode("main").alias("line_no"))
+
+
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     page = page_rows(table(spark, d, "crawl_results")).select(F.lit("page").alias("kind"), F.col("crawl_id").alias("row_id"), "page_no", F.col("html").alias("text"))
     bio = table(spark, d, "profiles").select(F.lit("biography").alias("kind"), F.col("profile_id").alias("row_id"), F.lit(-1).alias("page_no"), F.col("biography").alias("text"))
