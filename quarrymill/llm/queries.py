@@ -8,10 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import near_duplicates as nd
-from quarrymill.llm import encodings, packing, page_text, reading_level, similar_vectors, splitting, tokens
+from quarrymill.llm import encodings, names, packing, page_text, reading_level, similar_vectors, splitting, tokens
 from quarrymill.runtime import table
 
 
+CAMPUSES = ["Havenmoor", "Vellamo", "Saltmarsh", "Old Mill", "Port Ellery", "Online"]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one person, and the labs a row names under any spelling."""
+    profiles = table(spark, d, "profiles")
+    persons = names.same_persons(profiles, "profile_id", "name", "contact", "websites", ["areas_of_interest", "education", "campuses"])
+    person = names.pairs_of(persons, "key", "person").select(F.lit("person").alias("kind"), F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+    named = profiles.select("profile_id", F.explode("labs_and_groups").alias("spelling"))
+    labs = names.attribute_groups(named, table(spark, d, "labs"), "spelling", "lab_id", "lab_name", "acronym", CAMPUSES)
+    lab = named.join(labs, "spelling").select(F.lit("lab").alias("kind"), F.col("profile_id").alias("left_id"), F.col("lab_id").alias("right_id")).distinct()
+    return person.unionByName(lab)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors of cosine 0.8 or more, one among the 10 most similar of the other."""
     return similar_vectors.similar_pairs(table(spark, d, "chunk_vectors"), "vector_id", "vec").select(F.col("a").alias("vector_id_a"), F.col("b").alias("vector_id_b"))
