@@ -169,8 +169,13 @@ class CharModel:
 def stretches(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the stretches beyond ASCII, long ones in parts."""
     for m in STRETCH.finditer(text):
-        for i in range(m.start(), m.end(), LONGEST):
-            yield i, min(i + LONGEST, m.end())
+        i, last = m.span()
+        while i < last:
+            j = min(i + LONGEST, last)
+            if j < last and (k := text.rfind(" ", i + 1, j)) > i:
+                j = k + 1  # a cut inside a word could part the bytes of a character
+            yield i, j
+            i = j
 
 
 def framed(text: str, start: int, end: int) -> tuple[str, str, str]:
@@ -303,13 +308,12 @@ def char_counts(df: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = CharModel()
         for b in batches:
-            seen: dict[str, int] = {}
+            seen: dict[tuple[str, str, str], int] = {}
             for t in b.column(0).to_pylist():
                 for s, e in stretches(t):
-                    a, x, z = framed(t, s, e)
-                    k = a + x + z
+                    k = framed(t, s, e)
                     seen[k] = seen.get(k, 0) + 1
-            clean = [(k, n) for k, n in seen.items() if not suspicious(k)]
+            clean = [("".join(k), n) for k, n in seen.items() if not suspicious(k[1])]
             if clean:
                 _add_all(m, clean)
         flat = m.counts.ravel()

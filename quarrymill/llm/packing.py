@@ -100,11 +100,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, shard_
         width = narrow
         n_round += 1
 
-        def again(k: tuple, pdf: pd.DataFrame, r: int = n_round) -> pd.DataFrame:
+        def again(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             roots = pdf.drop_duplicates("root").sort_values(["fill", "root"], ascending=[False, True], kind="stable")
             where, offset, fill = sum_of_squares(roots["fill"].to_numpy(), capacity)
             new = dict(zip(roots["root"], zip(where.tolist(), offset.tolist())))
-            return pd.DataFrame({"bin": pdf["bin"], "root": [f"r{r}-{k[0]}-{new[x][0]}" for x in pdf["root"]], "shift": [s + new[x][1] for x, s in zip(pdf["root"], pdf["shift"])], "fill": [int(fill[new[x][0]]) for x in pdf["root"]]})
+            return pd.DataFrame({"bin": pdf["bin"], "root": [f"r{width}-{k[0]}-{new[x][0]}" for x in pdf["root"]], "shift": [s + new[x][1] for x, s in zip(pdf["root"], pdf["shift"])], "fill": [int(fill[new[x][0]]) for x in pdf["root"]]})
 
         open_, closed = moves.where(F.col("fill") < capacity), moves.where(F.col("fill") >= capacity)
         merged = open_.withColumn("_s", F.pmod(F.hash("root"), F.lit(width))).groupBy("_s").applyInPandas(again, "bin string, root string, shift long, fill long")

@@ -107,4 +107,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others are held against brute force in the tests."""
+    return {
+        "p3_found": r"""
+            with w as (select chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from chunks where text is not null),
+            g as (select distinct chunk_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as gram from w where len(ws) >= 50),
+            n as (select chunk_id, count(*) as n from g group by chunk_id),
+            o as (select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b, count(*) as both from g a join g b on a.gram = b.gram and a.chunk_id < b.chunk_id group by all)
+            select chunk_id_a, chunk_id_b from o join n x on x.chunk_id = chunk_id_a join n y on y.chunk_id = chunk_id_b where both >= 0.5 * (x.n + y.n - both)""",
+        "p7_found": "select 'biography' as kind, profile_id as item_id from profiles where length(biography) > 1500 union all select 'chunk', chunk_id from chunks where length(text) > 1500",
+    }
