@@ -53,5 +53,5 @@ def resolve(base: Column, href: Column) -> Column:
 
     Absolute http links without dot segments, nearly all of them, are their own result and never leave the JVM.
     """
-    plain = href.rlike(r"^https?://[^/?#]+(/[^?#]*)?([?#].*)?$") & ~href.rlike(r"/\.\.?(/|$|[?#])")
+    plain = href.rlike(r"^https?://[^/?#\[\]]+(/[^?#]*)?([?#].*)?$") & ~href.rlike(r"/\.\.?(/|$|[?#])")
     return F.when(plain, href).otherwise(_joined(base, F.when(~plain, href)))
