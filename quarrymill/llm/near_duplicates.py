@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.groups import components
 from quarrymill.llm.words import WordHash, gram_set, words_of
 from quarrymill.runtime import slots, stored
 
@@ -305,3 +306,14 @@ def duplicate_pairs(member: DataFrame, links: DataFrame) -> DataFrame:
         .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
     )
     return same.unionByName(cross)
+
+
+def duplicate_groups(member: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, group, n_links): one row per text; group is the smallest key its links lead to, n_links those of its class."""
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n"))
+    found = components(links)
+    return (
+        member.join(ends, "rep", "left")
+        .join(found.select(F.col("node").alias("rep"), "group"), "rep", "left")
+        .select("key", F.coalesce("group", "rep").alias("group"), F.coalesce("n", F.lit(0)).alias("n_links"))
+    )

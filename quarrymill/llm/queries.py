@@ -37,6 +37,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nd.duplicate_pairs(member, links).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk of at least 50 words with the group of reworked copies it belongs to."""
+    member, links = nd.near_duplicates(table(spark, d, "chunks"), "chunk_id", "text", size=3, threshold=0.5, least_words=50)
+    return nd.duplicate_groups(member, links).select(F.col("key").alias("chunk_id"), F.col("group").alias("group_id"), "n_links")
+
+
 def page_rows(crawls: DataFrame) -> DataFrame:
     """One row per page: crawl_id, page_no from 0, url, html."""
     return crawls.select("crawl_id", F.posexplode("pages").alias("page_no", "p")).select("crawl_id", "page_no", F.col("p.url").alias("url"), F.col("p.html").alias("html"))
@@ -113,7 +119,7 @@ def oracle_sql() -> dict[str, str]:
             with w as (select chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from chunks where text is not null),
             g as (select distinct chunk_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as gram from w where len(ws) >= 50),
             n as (select chunk_id, count(*) as n from g group by chunk_id),
-            o as (select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b, count(*) as both from g a join g b on a.gram = b.gram and a.chunk_id < b.chunk_id group by all)
-            select chunk_id_a, chunk_id_b from o join n x on x.chunk_id = chunk_id_a join n y on y.chunk_id = chunk_id_b where both >= 0.5 * (x.n + y.n - both)""",
+            o as (select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b, count(*) as common from g a join g b on a.gram = b.gram and a.chunk_id < b.chunk_id group by all)
+            select chunk_id_a, chunk_id_b from o join n x on x.chunk_id = chunk_id_a join n y on y.chunk_id = chunk_id_b where common >= 0.5 * (x.n + y.n - common)""",
         "p7_found": "select 'biography' as kind, profile_id as item_id from profiles where length(biography) > 1500 union all select 'chunk', chunk_id from chunks where length(text) > 1500",
     }

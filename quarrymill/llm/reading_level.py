@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from quarrymill.llm.words import WordHash, _mix, words_of
 
 SAMPLE = 12_000
-SAMPLE_CHARS = 6_000
 WINDOW = 12
 SLOTS = 1 << 17
 SHARES = np.array([0.45, 0.33, 0.2, 0.02])  # of 3, 2, 1 words and of the uniform model
@@ -153,8 +152,9 @@ class LanguageModel:
 
 
 def _bounded(df: DataFrame, key: str, most: int) -> pd.DataFrame:
-    """At most ``most`` rows, the same ones on every run."""
-    return df.orderBy(F.xxhash64(key), key).limit(most).toPandas()
+    """About ``most`` rows and never many more, the same ones on every run: those whose hash falls into the right share."""
+    n = df.count()
+    return (df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(n)) < most)).toPandas().sort_values(key)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", band: str = "band", sample: int = SAMPLE) -> tuple[BandModels | None, LanguageModel]:
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Texts rated twice count with each rating. Without rated texts there is no band model and no text gets a band.
     """
-    rows = docs.select(F.col(key).alias("key"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.lower(lang).alias("lang")).where("length(text) > 0 and key is not null")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lower(lang).alias("lang")).where((F.length("text") > 0) & F.col("key").isNotNull())
     tag = F.substring("lang", 1, 2)
     model = LanguageModel()
     for english, cond in ((True, tag == "en"), (False, (tag != "en") & ~F.col("lang").isin("und", ""))):

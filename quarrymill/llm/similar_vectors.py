@@ -144,7 +144,9 @@ def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, effort: flo
     total = vectors.count()
     if not total:
         return spark.createDataFrame([], "q long, n long, score double, copies long, rank int")
-    sample = vectors.orderBy(F.xxhash64("entry")).limit(SAMPLE).select("vec").toPandas()["vec"]
+    # the share of the entries whose hash falls into SAMPLE of ``total``
+    part = vectors if total <= SAMPLE else vectors.where(F.pmod(F.xxhash64("entry"), F.lit(total)) < SAMPLE)
+    sample = part.select("entry", "vec").toPandas().sort_values("entry")["vec"]
     dim = max(len(v) for v in sample) // 4
     x = _unit(np.frombuffer(b"".join(v for v in sample if len(v) == 4 * dim), "<f4").reshape(-1, dim)).astype(np.float32)
     half = dim // 2

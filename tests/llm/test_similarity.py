@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import names, near_duplicates, similar_vectors
+from quarrymill.llm import groups, names, near_duplicates, similar_vectors
 from quarrymill.llm.near_duplicates import pack_grams, unpack_grams
 
 
@@ -53,6 +53,27 @@ def test_pairs_equal_brute_force(spark, size, t, least):
     assert {r["key"] for r in member.collect()} == {k for k, v in texts.items() if len(re.findall(r"[^\W_]+", (v or "").lower())) >= max(least, size)}
 
 
+def test_groups_follow_the_links(spark):
+    texts = reworked(90, 11)
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    member, links = near_duplicates.near_duplicates(df, "id", "t", 3, 0.5, 50)
+    got = {r["key"]: r["group"] for r in near_duplicates.duplicate_groups(member, links).collect()}
+    group = {k: k for k in got}
+    for a, b in sorted(brute(texts, 3, 0.5, 50)):
+        x, y = group[a], group[b]
+        group = {k: min(x, y) if v in (x, y) else v for k, v in group.items()}
+    assert got == group
+
+
+def test_components_of_long_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(0, 300)]
+    star = [(1000, 1001 + i) for i in range(300)]
+    df = spark.createDataFrame([*chain, *star, (5000, 5001), (5001, 5000), (7, 7), (None, 3)], "a long, b long")
+    got = {r["node"]: r["group"] for r in groups.components(df).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1301)}, 5000: 5000, 5001: 5000}
+    assert groups.components(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     member, links = near_duplicates.near_duplicates(spark.createDataFrame([], "id long, t string"), "id", "t")
     assert member.count() == 0 and links.count() == 0
