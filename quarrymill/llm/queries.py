@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     person = names.pairs_of(persons, "key", "person").select(F.lit("person").alias("kind"), F.col("a").alias("left_id"), F.col("b").alias("right_id"))
     named = profiles.select("profile_id", F.explode("labs_and_groups").alias("spelling"))
     labs = names.attribute_groups(named, table(spark, d, "labs"), "spelling", "lab_id", "lab_name", "acronym", CAMPUSES)
-    lab = named.join(labs, "spelling").select(F.lit("lab").alias("kind"), F.col("profile_id").alias("left_id"), F.col("lab_id").alias("right_id")).distinct()
+    lab = named.join(labs.hint("merge"), "spelling").select(F.lit("lab").alias("kind"), F.col("profile_id").alias("left_id"), F.col("lab_id").alias("right_id")).distinct()
     return person.unionByName(lab)
 
 
