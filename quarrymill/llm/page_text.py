@@ -2,7 +2,8 @@
 
 Main body (problem 6). Method: nearest-URL page differencing. Pages of a host are put in the order of their
 URL paths; each is aligned with its nearest neighbours, text line by text line, by longest common
-subsequence, and shared lines are struck. A page without a neighbour has nothing to be compared with, so
+subsequence, and shared lines are struck. Neighbours share the first part of the path, or only the host
+where no other page shares it. A page without a neighbour has nothing to be compared with, so
 what differencing finds over all pages also trains a word model of shared against own lines, which scores
 every line; lines between container tags are judged as a block, and the main body is the best block with
 the good blocks next to it, less the lines that are struck or read like page furniture.
@@ -166,10 +167,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def _site_of(url: Column) -> Column:
-    """Host with the first part of the path."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1))
-    return F.concat(host, F.lit("/"), F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*/*([^/?#]*)", 1))
+def _host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1))
+
+
+def _part_of(url: Column) -> Column:
+    """The first part of the path."""
+    return F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*/*([^/?#]*)", 1)
 
 
 def features(text: str, linked: bool, hashes: WordHash) -> np.ndarray:
@@ -222,26 +226,29 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], float]:
     return got, len(got) / min(n, m)
 
 
-def _site(pages: list[tuple[str, list[str]]]) -> list[set[int] | None]:
-    """For each (url, texts) of a site, sorted by url, the places of lines shared with its nearest pages; None without one.
+def _site(pages: list[tuple[str, str, list[str]]]) -> list[set[int] | None]:
+    """For each (first part of the path, url, texts) of a host, sorted, the places of lines shared with its nearest pages; None without one.
 
-    The nearest pages are those before and after it of another URL; one that is a copy in all but its URL
-    says nothing and is passed over.
+    The nearest pages are those before and after it of another URL and the same first part, or of any part
+    where there is none; one that is a copy in all but its URL says nothing and is passed over.
     """
-    urls = [u.split("#")[0].rstrip("/") for u, _ in pages]
+    urls = [u.split("#")[0].rstrip("/") for _, u, _ in pages]
     out: list[set[int] | None] = []
-    for i, (_, t) in enumerate(pages):
+    for i, (part_i, _, t) in enumerate(pages):
         got: set[int] | None = None
-        for step in (-1, 1):
-            j, tries = i + step, 0
-            while 0 <= j < len(pages) and tries < 3:
-                if urls[j] != urls[i]:
-                    tries += 1
-                    shared, part = common_lines(t, pages[j][1])
-                    if part < 0.95 or len(shared) < 0.95 * len(t):
-                        got = (got or set()) | shared
-                        break
-                j += step
+        for whole in (False, True):
+            for step in (-1, 1):
+                j, tries = i + step, 0
+                while 0 <= j < len(pages) and tries < 3 and (whole or pages[j][0] == part_i):
+                    if urls[j] != urls[i]:
+                        tries += 1
+                        shared, part = common_lines(t, pages[j][2])
+                        if part < 0.95 or len(shared) < 0.95 * len(t):
+                            got = (got or set()) | shared
+                            break
+                    j += step
+            if got is not None:
+                break
         out.append(got)
     return out
 
@@ -279,15 +286,15 @@ def differenced(pages: DataFrame, keys: list[str], url: str, html: str) -> DataF
     Pages meet in the order of their URLs within a site; a site of more than HOT pages is cut by the next
     characters of the path, so no task gets a hot host whole. Null html has no row.
     """
-    rows = pages.select(*keys, F.coalesce(F.col(url), F.lit("")).alias("_url"), F.col(html).alias("_html")).where(F.col("_html").isNotNull()).withColumn("_site", _site_of(F.col("_url")))
+    rows = pages.select(*keys, F.coalesce(F.col(url), F.lit("")).alias("_url"), F.col(html).alias("_html")).where(F.col("_html").isNotNull()).withColumn("_site", _host_of(F.col("_url"))).withColumn("_part", _part_of(F.col("_url")))
     hot = rows.groupBy("_site").count().where(F.col("count") > HOT).select("_site", F.lit(True).alias("_hot"))
-    rest = F.regexp_extract("_url", r"^[a-zA-Z]+://[^/?#]*/*[^/?#]*/*(.{0,3})", 1)
+    rest = F.regexp_extract("_url", r"^[a-zA-Z]+://[^/?#]*/*(.{0,3})", 1)
     rows = rows.join(hot, "_site", "left").withColumn("_site", F.when(F.col("_hot"), F.concat("_site", F.lit("\u0001"), rest)).otherwise(F.col("_site"))).drop("_hot")
-    rows = rows.repartition("_site").sortWithinPartitions("_site", "_url", *keys)
+    rows = rows.repartition("_site").sortWithinPartitions("_site", "_part", "_url", *keys)
     names = [*keys, "_html", "shared"]
     kinds = {f.name: f for f in rows.schema.fields}
     form = ", ".join(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keys) + ", _html string, shared binary"
-    order = [*keys, "_html", "_url", "_site"]
+    order = [*keys, "_html", "_part", "_url", "_site"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -298,7 +305,7 @@ def differenced(pages: DataFrame, keys: list[str], url: str, html: str) -> DataF
             parsed = [lines_of(r[len(keys)]) for r in held]
             texts = [[t for t, _, _ in p if t] for p in parsed]
             marks = []
-            for p, shared in zip(parsed, _site([(r[len(keys) + 1], t) for r, t in zip(held, texts)])):
+            for p, shared in zip(parsed, _site([(r[len(keys) + 1], r[len(keys) + 2], t) for r, t in zip(held, texts)])):
                 m, k = bytearray(len(p)), 0
                 for i, (t, _, _) in enumerate(p):
                     if t:

@@ -242,3 +242,15 @@ def test_common_lines_is_a_longest_common_subsequence():
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         assert len(page_text.common_lines(a, b)[0]) == best[-1][-1]
+
+
+def marks_of(spark, rows):
+    """The marks of lines with text, by page number, of (url, texts)."""
+    df = spark.createDataFrame([(i, u, "\n".join(f"<p>{x}</p>" for x in t)) for i, (u, t) in enumerate(rows)], "id long, url string, html string").repartition(3)
+    return {r["id"]: list(r["shared"]) for r in page_text.differenced(df, ["id"], "url", "html").collect()}
+
+
+def test_pages_meet_across_first_parts_of_a_host(spark):
+    got = marks_of(spark, [("https://h.edu/~a", ["Back to top", "one"]), ("https://h.edu/~b", ["Back to top", "two"]), ("https://h.edu/~c/x", ["Back to top", "c", "three"]), ("https://h.edu/~c/y", ["c", "four"]), ("https://k.edu/~a", ["Back to top", "one"])])
+    # a page whose first part has another page meets only that
+    assert got == {0: [1, 0], 1: [1, 0], 2: [0, 1, 0], 3: [1, 0], 4: [2, 2]}
