@@ -178,7 +178,7 @@ def _part_of(url: Column) -> Column:
 
 def features(text: str, linked: bool, hashes: WordHash) -> np.ndarray:
     """Slots of the words and pairs of words of a line; numbers count as one."""
-    w = tokens_of(text)[:60]
+    w = tokens_of(text)
     h = np.fromiter(map(hashes.__getitem__, ["^", *w, "$"]), np.uint64, len(w) + 2)
     two = _mix(h[:-1] * np.uint64(31) + h[1:])
     one = _mix(h[1:-1] + np.uint64(7))

@@ -254,3 +254,14 @@ def test_pages_meet_across_first_parts_of_a_host(spark):
     got = marks_of(spark, [("https://h.edu/~a", ["Back to top", "one"]), ("https://h.edu/~b", ["Back to top", "two"]), ("https://h.edu/~c/x", ["Back to top", "c", "three"]), ("https://h.edu/~c/y", ["c", "four"]), ("https://k.edu/~a", ["Back to top", "one"])])
     # a page whose first part has another page meets only that
     assert got == {0: [1, 0], 1: [1, 0], 2: [0, 1, 0], 3: [1, 0], 4: [2, 2]}
+
+
+def test_whole_lines_are_counted():
+    text = " ".join(f"word{i}".replace("0", "a").translate(str.maketrans("123456789", "bcdefghij")) for i in range(200))
+    hashes = page_text.WordHash()
+    slots = page_text.features(text, False, hashes)
+    assert len(slots) == 200 + 201 + 1
+    own, shared = np.zeros(page_text.WORDS, np.int64), np.zeros(page_text.WORDS, np.int64)
+    own[slots[:60]], shared[slots[60:]] = 1, 1
+    model = page_text.LineModel(own, shared)
+    assert model.score(text, False) < model.score(" ".join(text.split()[:60]), False)
