@@ -18,6 +18,7 @@ Model tables have a fixed number of slots and are summed in the cluster over all
 
 from __future__ import annotations
 
+import hashlib
 import html as html_
 import re
 from collections.abc import Iterator
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.encodings import CharModel
 from quarrymill.llm.words import WordHash, _mix
-from quarrymill.runtime import stored
+from quarrymill.runtime import slots, stored
 
 WORDS = 1 << 18
-HOT = 4_000
+#: Pages of a task that aligns them, and how many beyond either end it sees at first; neither changes a result.
+BLOCK = 4_000
+REACH = 64
 WINDOW = 24
 COVERAGE = 0.5
 RATIO = 0.25
@@ -226,30 +229,49 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], float]:
     return got, len(got) / min(n, m)
 
 
-def _site(pages: list[tuple[str, str, list[str]]]) -> list[set[int] | None]:
-    """For each (first part of the path, url, texts) of a host, sorted, the places of lines shared with its nearest pages; None without one.
+def _site(pages: list[tuple[str, str, str, list]], ends: tuple[bool, bool] = (True, True), wanted: list[bool] | None = None) -> list[tuple[set[int] | None, bool]]:
+    """For each (host, first part of the path, url, lines), sorted, the places of lines shared with its nearest pages, None without one; whether it is settled.
 
-    The nearest pages are those before and after it of another URL and the same first part, or of any part
-    where there is none; one that is a copy in all but its URL says nothing and is passed over.
+    The nearest pages are those before and after it of another URL and the same first part, or of any part of
+    the host where there is none; one that is a copy in all but its URL says nothing and is passed over.
+    ``ends``: whether nothing comes before the first page and after the last; a page whose search runs off an
+    open end is not settled. ``wanted``: the pages that are asked for, all by default; others give (None, False).
     """
-    urls = [u.split("#")[0].rstrip("/") for _, u, _ in pages]
-    out: list[set[int] | None] = []
-    for i, (part_i, _, t) in enumerate(pages):
-        got: set[int] | None = None
+    n = len(pages)
+    last = list(range(n))
+    for i in range(n - 2, -1, -1):
+        if pages[i][:3] == pages[i + 1][:3]:
+            last[i] = last[i + 1]
+    first = list(range(n))
+    for i in range(1, n):
+        if pages[i][:3] == pages[i - 1][:3]:
+            first[i] = first[i - 1]
+
+    def nearest(i: int, step: int, whole: bool) -> tuple[set[int] | None, bool]:
+        host, part, _, t = pages[i]
+        j, tries = (first[i] - 1 if step < 0 else last[i] + 1), 0
+        while 0 <= j < n:
+            if pages[j][0] != host or not whole and pages[j][1] != part or tries == 3:
+                return None, True
+            tries += 1
+            shared, _ = common_lines(t, pages[j][3])
+            if not t or len(shared) < 0.95 * len(t):
+                return shared, True
+            j += step
+        return None, ends[step > 0]
+
+    out: list[tuple[set[int] | None, bool]] = []
+    for i in range(n):
+        if wanted is not None and not wanted[i]:
+            out.append((None, False))
+            continue
         for whole in (False, True):
-            for step in (-1, 1):
-                j, tries = i + step, 0
-                while 0 <= j < len(pages) and tries < 3 and (whole or pages[j][0] == part_i):
-                    if urls[j] != urls[i]:
-                        tries += 1
-                        shared, part = common_lines(t, pages[j][2])
-                        if part < 0.95 or len(shared) < 0.95 * len(t):
-                            got = (got or set()) | shared
-                            break
-                    j += step
-            if got is not None:
+            sides = [nearest(i, step, whole) for step in (-1, 1)]
+            got = [x for x, _ in sides if x is not None]
+            settled = all(x for _, x in sides)
+            if got or not settled:
                 break
-        out.append(got)
+        out.append((set().union(*got) if got else None, settled))
     return out
 
 
@@ -280,55 +302,90 @@ def summed(tables: DataFrame, sizes: dict[str, int], parts: int = 64) -> dict[st
     return out
 
 
+def _aligned(distinct: DataFrame) -> DataFrame:
+    """(host, part, url, lines, shared): a byte per line, 1 shared with a nearest page and 0 own; null without one.
+
+    Distinct pages are numbered in the order of host, first part and URL, and aligned in blocks of BLOCK
+    numbers that also see the pages next to them. What is not settled by these is tried again with ever more
+    pages around it, so that results do not depend on where blocks end, and no task gets a hot host whole.
+    """
+    spark = distinct.sparkSession
+    by = ["host", "part", "url", "lines"]
+    rows = stored(distinct.repartitionByRange(slots(spark), *by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), "sites")
+    task = F.shiftright("at", 33)
+    before, total = {}, 0
+    for r in sorted(rows.groupBy(task.alias("task")).count().collect()):  # one row a task
+        before[r["task"]], total = total, total + r["count"]
+    starts = F.array(*[F.lit(before.get(i, 0)).cast("long") for i in range(max(before, default=0) + 1)])
+    rows = rows.withColumn("at", F.element_at(starts, (task + 1).cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1))
+    todo, reach, done = None, REACH, []
+    form = "host string, part string, url string, lines binary, at long, shared binary, settled boolean"
+
+    while True:
+        seen = rows.withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.col("at") - reach, F.lit(0)) / BLOCK), F.floor(F.least(F.col("at") + reach, F.lit(max(total - 1, 0))) / BLOCK))))
+        if todo is None:
+            seen = seen.withColumn("wanted", F.floor(F.col("at") / BLOCK) == F.col("block"))
+        else:
+            blocks = todo.select(F.floor(F.col("at") / BLOCK).alias("block")).distinct()
+            seen = seen.join(blocks.hint("merge"), "block", "left_semi").join(todo.select("at", F.lit(True).alias("_open")).hint("merge"), "at", "left")
+            seen = seen.withColumn("wanted", F.col("_open").isNotNull() & (F.floor(F.col("at") / BLOCK) == F.col("block"))).drop("_open")
+
+        def align(t: pa.Table) -> pa.Table:
+            t = t.sort_by("at")
+            at, wanted = t.column("at").to_pylist(), t.column("wanted").to_pylist()
+            raw = t.column("lines").to_pylist()
+            lines = [[x[k : k + 8] for k in range(0, len(x), 8)] for x in raw]
+            got = _site(list(zip(*(t.column(c).to_pylist() for c in by[:3]), lines)), (at[0] == 0, at[-1] == total - 1), wanted)
+            keep = [i for i, w in enumerate(wanted) if w]
+            shared = [None if got[i][0] is None else bytes(k in got[i][0] for k in range(len(lines[i]))) for i in keep]
+            t = t.select([*by, "at"]).take(pa.array(keep, pa.int64()))
+            return t.append_column("shared", pa.array(shared, pa.binary())).append_column("settled", pa.array([got[i][1] for i in keep], pa.bool_()))
+
+        got = stored(seen.groupBy("block").applyInArrow(align, form), "aligned")
+        done.append(got.where("settled").select(*by, "shared"))
+        todo = got.where(~F.col("settled")).select("at")
+        if todo.isEmpty():
+            break
+        reach *= 16
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def differenced(pages: DataFrame, keys: list[str], url: str, html: str) -> DataFrame:
     """Each page with ``shared``: a byte per line, 1 struck by differencing, 0 own, 2 no page to compare with.
 
-    Pages meet in the order of their URLs within a site; a site of more than HOT pages is cut by the next
-    characters of the path, so no task gets a hot host whole. Null html has no row.
+    Pages of equal URL and equal lines are one until the result is expanded; those without a URL meet each
+    other as one URL. Null html has no row.
     """
-    rows = pages.select(*keys, F.coalesce(F.col(url), F.lit("")).alias("_url"), F.col(html).alias("_html")).where(F.col("_html").isNotNull()).withColumn("_site", _host_of(F.col("_url"))).withColumn("_part", _part_of(F.col("_url")))
-    hot = rows.groupBy("_site").count().where(F.col("count") > HOT).select("_site", F.lit(True).alias("_hot"))
-    rest = F.regexp_extract("_url", r"^[a-zA-Z]+://[^/?#]*/*(.{0,3})", 1)
-    rows = rows.join(hot, "_site", "left").withColumn("_site", F.when(F.col("_hot"), F.concat("_site", F.lit("\u0001"), rest)).otherwise(F.col("_site"))).drop("_hot")
-    rows = rows.repartition("_site").sortWithinPartitions("_site", "_part", "_url", *keys)
-    names = [*keys, "_html", "shared"]
-    kinds = {f.name: f for f in rows.schema.fields}
-    form = ", ".join(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keys) + ", _html string, shared binary"
-    order = [*keys, "_html", "_part", "_url", "_site"]
+    rows = pages.select(*keys, F.coalesce(F.col(url), F.lit("")).alias("_url"), F.col(html).alias("_html")).where(F.col("_html").isNotNull())
+    rows = rows.withColumn("_host", _host_of(F.col("_url"))).withColumn("_part", _part_of(F.col("_url"))).withColumn("_url", F.regexp_replace(F.regexp_replace("_url", r"(?s)#.*$", ""), r"/+$", ""))
+    kinds = dict(rows.dtypes)
+    names = [*keys, "_html", "_host", "_part", "_url"]
+    form = ", ".join(f"`{k}` {kinds[k]}" for k in names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [[t for t, _, _ in lines_of(x)] for x in b.column("_html").to_pylist()]
+            lines = [b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in x if t) for x in texts]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(lines, pa.binary()), pa.array([bytes(bool(t) for t in x) for x in texts], pa.binary())], [*names, "_lines", "_text"])
 
-        def flush() -> pa.RecordBatch | None:
-            if not held:
-                return None
-            parsed = [lines_of(r[len(keys)]) for r in held]
-            texts = [[t for t, _, _ in p if t] for p in parsed]
-            marks = []
-            for p, shared in zip(parsed, _site([(r[len(keys) + 1], r[len(keys) + 2], t) for r, t in zip(held, texts)])):
-                m, k = bytearray(len(p)), 0
-                for i, (t, _, _) in enumerate(p):
-                    if t:
-                        m[i] = 2 if shared is None else int(k in shared)
-                        k += 1
-                marks.append(bytes(m))
-            cols = [pa.array([r[j] for r in held], kind) for j, kind in enumerate(types)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([*cols, pa.array(marks, pa.binary())], names)
-
-        site, types = None, []
+    rows = stored(rows.select(*names).mapInArrow(parse, f"{form}, _lines binary, _text binary"), "parsed")
+    site = rows.select(F.col("_host").alias("host"), F.col("_part").alias("part"), F.col("_url").alias("url"), F.col("_lines").alias("lines"))
+    found = _aligned(site.distinct()).select(F.col("host").alias("_host"), F.col("part").alias("_part"), F.col("url").alias("_url"), F.col("lines").alias("_lines"), F.col("shared").alias("_shared"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            types = [b.schema.field(k).type for k in [*keys, "_html"]]
-            for row in zip(*(b.column(k).to_pylist() for k in order)):
-                if row[-1] != site:
-                    if (out := flush()) is not None:
-                        yield out
-                    site = row[-1]
-                held.append(row)
-        if (out := flush()) is not None:
-            yield out
-
-    return rows.select(*order).mapInArrow(run, form)
+            marks = []
+            for text, shared in zip(b.column("_text").to_pylist(), b.column("_shared").to_pylist()):
+                m = np.frombuffer(text, np.uint8).copy()
+                m[m > 0] = 2 if shared is None else np.frombuffer(shared, np.uint8)
+                marks.append(m.tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in [*keys, "_html"]), pa.array(marks, pa.binary())], [*keys, "_html", "shared"])
+
+    both = rows.join(found.hint("merge"), ["_host", "_part", "_url", "_lines"])
+    return both.select(*keys, "_html", "_text", "_shared").mapInArrow(mark, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _html string, shared binary")
 
 
 def tokens_of(text: str) -> list[str]:

@@ -265,3 +265,21 @@ def test_whole_lines_are_counted():
     own[slots[:60]], shared[slots[60:]] = 1, 1
     model = page_text.LineModel(own, shared)
     assert model.score(text, False) < model.score(" ".join(text.split()[:60]), False)
+
+
+def test_marks_do_not_depend_on_where_a_host_is_cut(spark, monkeypatch):
+    # one host; equal URLs with many texts, no URL, and a common beginning of the path
+    rows = [(f"https://h.edu/people/profile-{i:04}", ["Back to top", f"pair {i // 2}", f"own {i}"]) for i in range(300)]
+    rows += [("https://h.edu/people/profile-0100", ["Back to top", f"again {i}"]) for i in range(200)] + [(None, ["Back to top", "none"])] * 20
+    want = marks_of(spark, rows)
+    for i in range(1, 299):
+        if i not in (99, 100, 101):
+            assert want[i] == [1, 1, 0]
+    assert all(want[i] == [1, 0] for i in range(300, 500)) and all(want[i] == [2, 2] for i in range(500, 520))
+    monkeypatch.setattr(page_text, "HOT", 40, raising=False)
+    monkeypatch.setattr(page_text, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(page_text, "REACH", 2, raising=False)
+    assert marks_of(spark, rows) == want
+    alone = [("https://h.edu/people/a", ["Back to top", "one"]), ("https://h.edu/teams/b", ["Back to top", "two"])]
+    monkeypatch.setattr(page_text, "HOT", 1, raising=False)
+    assert marks_of(spark, alone) == {0: [1, 0], 1: [1, 0]}
