@@ -312,11 +312,11 @@ def same_persons(df: DataFrame, key: str, name: str, contact: str, websites: str
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32")
 
-    # two words within two edits share a form with at most two letters left out; only frequent words are looked up
-    rare = counts.where("n <= 8").select(F.col("s").alias("v"), F.col("n").alias("nv"), F.explode(shortened("s")).alias("k"))
+    # two words within two edits share a form with at most two letters left out; the ratio of their counts decides, at any size
+    less = counts.select(F.col("s").alias("v"), F.col("n").alias("nv"), F.explode(shortened("s")).alias("k"))
     form = counts.where("n >= 2").select(F.col("s").alias("c"), F.col("n").alias("nc"), F.explode(shortened("s")).alias("k"))
     better = (
-        rare.join(form.hint("merge"), "k")
+        less.join(form.hint("merge"), "k")
         .where("c <> v and nc > nv")
         .select("v", "nv", "c", "nc")
         .distinct()

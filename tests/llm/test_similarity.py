@@ -172,5 +172,13 @@ def test_persons(spark):
     assert names.same_persons(df.limit(0), "profile_id", "name", "contact", "websites", ["areas"]).count() == 0
 
 
+def test_frequent_misprints_of_a_hot_surname(spark):
+    rows = [(i, "Robert Hargelthorn" if i % 10 else "Robert Hargelthron") for i in range(200)]
+    rows += [(1000 + i, f"{g} {s}") for i, (g, s) in enumerate((g, s) for g in ("Robert", "William") for s in ("Brakt", "Lomis", "Vextra", "Quillo", "Zandor"))]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], "profile_id long, name string, contact array<string>, websites array<struct<text:string,href:string>>, areas array<string>")
+    got = {r["key"]: r["person"] for r in names.same_persons(df, "profile_id", "name", "contact", "websites", ["areas"]).collect()}
+    assert len({got[i] for i in range(200)}) == 1 and len(set(got.values())) == 11
+
+
 def test_distance():
     assert [names.distance(a, b) for a, b in (("roebrt", "robert"), ("a", "a"), ("abc", "abd"), ("abcd", "x"), ("", "ab"))] == [1, 0, 1, 3, 2]
