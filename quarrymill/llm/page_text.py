@@ -229,6 +229,25 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], float]:
     return got, len(got) / min(n, m)
 
 
+def _copies(pages: list[tuple[str, str, str, list]]) -> list[tuple[int, int]]:
+    """(first, last) of the run each page is in: neighbours of one host and first part that are all copies of each other, since the lines common to all are 95 % of each."""
+    runs: list[list[int]] = []
+    core, most, known = set(), 0, set()
+    for i, (host, part, _, t) in enumerate(pages):
+        if runs and t and (host, part) == pages[i - 1][:2]:
+            head = pages[runs[-1][0]][3]
+            longest = max(most, len(t))
+            if len(core) >= 0.95 * longest and sum(x in known for x in t) >= 0.95 * longest:
+                left = core if t == head else core & common_lines(head, t)[0]
+                if len(left) >= 0.95 * longest:
+                    core, most = left, longest
+                    runs[-1][1] = i
+                    continue
+        runs.append([i, i])
+        core, most, known = set(range(len(t))), len(t), set(t)
+    return [(a, b) for a, b in runs for _ in range(a, b + 1)]
+
+
 def _site(pages: list[tuple[str, str, str, list]], ends: tuple[bool, bool] = (True, True), wanted: list[bool] | None = None) -> list[tuple[set[int] | None, bool]]:
     """For each (host, first part of the path, url, lines), sorted, the places of lines shared with its nearest pages, None without one; whether it is settled.
 
@@ -247,13 +266,20 @@ def _site(pages: list[tuple[str, str, str, list]], ends: tuple[bool, bool] = (Tr
         if pages[i][:3] == pages[i - 1][:3]:
             first[i] = first[i - 1]
 
+    runs = _copies(pages)
+
     def nearest(i: int, step: int, whole: bool) -> tuple[set[int] | None, bool]:
-        host, part, _, t = pages[i]
-        j, tries = (first[i] - 1 if step < 0 else last[i] + 1), 0
+        host, part, url, t = pages[i]
+        j = i + step
         while 0 <= j < n:
-            if pages[j][0] != host or not whole and pages[j][1] != part or tries == 3:
+            if pages[j][0] != host or not whole and pages[j][1] != part:
                 return None, True
-            tries += 1
+            if pages[j][1:3] == (part, url):
+                j = (first[i] - 1) if step < 0 else last[i] + 1
+                continue
+            if runs[j] == runs[i]:
+                j = runs[i][0] - 1 if step < 0 else runs[i][1] + 1
+                continue
             shared, _ = common_lines(t, pages[j][3])
             if not t or len(shared) < 0.95 * len(t):
                 return shared, True

@@ -283,3 +283,36 @@ def test_marks_do_not_depend_on_where_a_host_is_cut(spark, monkeypatch):
     alone = [("https://h.edu/people/a", ["Back to top", "one"]), ("https://h.edu/teams/b", ["Back to top", "two"])]
     monkeypatch.setattr(page_text, "HOT", 1, raising=False)
     assert marks_of(spark, alone) == {0: [1, 0], 1: [1, 0]}
+
+
+def test_copies_of_any_number_are_passed_over(spark, monkeypatch):
+    # copies and near copies under many URLs, then one page that differs
+    rows = [(f"https://h.edu/~a/copy{i:03}", ["Back to top", *[f"line {k}" for k in range(30)], *(["new"] if i % 7 == 0 else [])]) for i in range(150)]
+    rows += [("https://h.edu/~a/other", ["Back to top", "own"])]
+    got = marks_of(spark, rows)
+    assert all(got[i][0] == 1 and not any(got[i][1:]) for i in range(150)) and got[150] == [1, 0]
+    monkeypatch.setattr(page_text, "BLOCK", 7)
+    monkeypatch.setattr(page_text, "REACH", 2)
+    assert marks_of(spark, rows) == got
+
+
+def test_runs_of_copies_give_what_every_pair_gives():
+    r = random.Random(8)
+    for _ in range(40):
+        texts = [[f"{r.randrange(3)}"] * r.randrange(2) + [f"l{k}" for k in range(r.randrange(20, 24))] for _ in range(4)] + [["x", "l1"]]
+        pages = sorted(("h", r.choice("ab"), f"u{r.randrange(12)}", r.choice(texts)) for _ in range(25))
+        for i, (got, settled) in enumerate(page_text._site(pages)):
+            _, part, url, t = pages[i]
+            want = None
+            for whole in (False, True):
+                for side in (pages[:i][::-1], pages[i + 1 :]):
+                    for _, p, u, x in side:
+                        if not whole and p != part:
+                            break
+                        shared = page_text.common_lines(t, x)[0]
+                        if (p, u) != (part, url) and len(shared) < 0.95 * len(t):
+                            want = (want or set()) | shared
+                            break
+                if want is not None:
+                    break
+            assert settled and got == want
