@@ -139,6 +139,16 @@ class CharModel:
         for k, s in enumerate(self.slots(text)):
             np.add.at(self.counts[k], s, times)
 
+    def add_all(self, texts: list[str]) -> None:
+        """Count many texts at once, in parts of about a million characters."""
+        part, size = [], 0
+        for i, t in enumerate(texts):
+            part.append((t, 1))
+            size += len(t)
+            if size > 1_000_000 or i == len(texts) - 1:
+                _add_all(self, part)
+                part, size = [], 0
+
     def logps(self, texts: list[str]) -> np.ndarray:
         """Log probability of the characters of each text."""
         if not texts:

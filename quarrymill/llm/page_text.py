@@ -1,19 +1,17 @@
-"""Problems 6 and 4: the main body of web pages, and pages that hold no content at all.
-
-Main body (problem 6). Method: nearest-URL page differencing. Pages of a host are put in the order of their
-URL paths; each is aligned with its nearest neighbours, text line by text line, by longest common
-subsequence, and shared lines are struck. Neighbours share the first part of the path, or only the host
-where no other page shares it. A page without a neighbour has nothing to be compared with, so
-what differencing finds over all pages also trains a word model of shared against own lines, which scores
-every line; lines between container tags are judged as a block, and the main body is the best block with
-the good blocks next to it, less the lines that are struck or read like page furniture.
-
-Residue (problem 4). Method: character n-gram models for placeholders, filler, error messages and script
-notices (from the examples below) and for natural prose (from all long own lines of the pages). Windows
-whose likelihood ratio favours a residue model mark residue; a page is excluded if residue covers most of
-its main body, so pages that mention or quote such text stay.
-
-Model tables have a fixed number of slots and are summed in the cluster over all pages.
+"""Problem 6: the main body of web pages. What stands there in place of content is judged in ``residue`` (problem 4).
+
+Method: nearest-URL page differencing. Pages of a host are put in the order of their URL paths; each is
+aligned with its nearest neighbours, text line by text line, by longest common subsequence, and shared lines
+are struck. Neighbours share the first part of the path, or only the host where no other page shares it. What
+a site prints by chance on one page only is not struck there, so what differencing finds over all pages also
+trains a word model: every distinct line counts once, as furniture if it was ever struck and as own text if
+never. A line that stands on thousands of pages thus weighs as much as one that stands on a single page, and
+wording that is struck anywhere counts against it everywhere; no wording is listed. Lines between container
+tags are judged as a block, and the main body is the best block with the good blocks next to it, less the
+lines that are struck or read like page furniture.
+
+Pages are parsed once; what is stored and moved afterwards are their lines. Model tables have a fixed number
+of slots and are summed in the cluster over all pages.
 """
 
 from __future__ import annotations
@@ -23,6 +21,7 @@ import html as html_
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.encodings import CharModel
+from quarrymill.llm.encodings import SLOTS, CharModel
+from quarrymill.llm.residue import ResidueModel, seed_counts
 from quarrymill.llm.words import WordHash, _mix
 from quarrymill.runtime import slots, stored
 
@@ -38,103 +38,50 @@ WORDS = 1 << 18
 #: Pages of a task that aligns them, and how many beyond either end it sees at first; neither changes a result.
 BLOCK = 4_000
 REACH = 64
-WINDOW = 24
-COVERAGE = 0.5
-RATIO = 0.25
-LONG_LINE = 80
 STRUCK = -6.0
+#: Likelihood ratio a character above which a page may still turn out to be residue, and that of a whole body below which it surely has content.
+UNCLEAR, CONFIDENT = -0.8, 60.0
 #: Lines of a worse score are furniture, whatever else they look like.
 WORST = -3.0
+#: Pages read in one go; entries a task remembers. Neither changes a result.
 PAGES = 200
-
-# Wording that pages everywhere use around their content.
-FURNITURE = """
-You are here: Home > About
-Share: Mail | Print | Copy link
-Share this page
-Read more »
-Read more
-Did you like this page? Leave a comment
-0 comments - log in to reply
-Related links
-Related posts
-Recent posts
-Popular now
-Most read
-Follow us
-Search this site
-Subscribe to our newsletter and never miss an update
-Quick links
-Back to top
-Visitor no. 0
-All rights reserved
-Terms of use - Imprint - Privacy - Accessibility - Site map - Login
-Last modified
-We use cookies. Accept all. Reject. Settings
-Built with the theme. Log in
-Report a problem with this page
-Tags:
-Archive:
-Upcoming:
-Skip to content
-Print this page
-""".strip().split("\n")
-# How templates mark a place to fill, and what they call it.
-MARKS = ("{{ %s }}", "${%s}", "<%%= %s %%>", "[%s]", "%%(%s)s", "<<%s>>", "<%s>", "«%s»", "@@%s@@", "##%s##", "{%% %s %%}", "{%s}", "__%s__", "*|%s|*", "[[%s]]", "%%%s%%", "#{%s}")
-PLACES = "your name|full name|full_name|first name|last name|department|DEPARTMENT|institution name|email|e-mail|office hours|course code|course title|short bio|biography|title|page title|insert title here|Insert text here|date|position|phone|address|company name|site.author|user.name|research_area|research area|YEAR|NAME|status|reason|message|failure.code|exc.__class__|type|username|description".split("|")
-AROUND = ("Welcome to the page of %s!", "About %s: %s", "Office: %s. Phone: %s.", "%s is a %s at %s, working on %s.", "Publications of %s since %s", "%s | %s | %s", "%s", "http_%s", "conn_error:%s")
-# Filler that stands in for text.
-FILLER = """
-Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
-Curabitur pretium tincidunt lacus. Nulla gravida orci a odio. Vivamus sagittis lacus vel augue laoreet rutrum faucibus dolor auctor. Vestibulum id ligula porta felis euismod semper. Cras justo odio, dapibus ac facilisis in, egestas eget quam. sagittis nulla. anim velit. commodo sit amet. vulputate. magna ipsum dolor. irure sint lorem. tempor nisi elit. mollit sed. lorem ipsum
-Placeholder paragraph. Placeholder text. Placeholder paragraph. Placeholder paragraph.
-Coming soon! Coming soon! Under construction. This page is under construction. Check back later.
-Your content here … Your content here … Your text here. Add your text here. Text goes here. Text goes here. Content goes here.
-Sample text. Sample text. Sample page. This is a sample page. Edit it or delete it, then start writing! Hello world! This is your first post. This is an example page.
-This is where the biography will go. This is where the text will go. Description goes here. This is where the biography will go.
-TODO: write research statement. TODO: write this section. TODO: add text. TODO reason. TBD: list publications. TBD. To be announced. FIXME. TODO
-Insert biography here (max 000 words). Insert text here. Insert title here. Insert reason here. insert image here. Write something about yourself.
-Blah blah blah. Blah blah blah. blah blah. Foo bar baz. foo bar. xxx xxx xxxx xxx xxx xxxx. xxx. xxxx. asdf asdf jkl asdf asdf jkl. qwerty qwerty. test test 000 test test 000. test test test. testing 000.
-undefined. NaN - null - undefined. null. [object Object]. [object Object]. None. N/A. undefined undefined. (null). NaN
-""".strip().split("\n")
-# Messages of servers and programs in place of a page.
-ERRORS = """
-000 Not Found. 000 - page not found. The requested URL was not found on this server. 000 - the page you are looking for does not exist. Page not found. File not found.
-Error 000. Error 000: page missing. Code 000 - page missing. Status: 000 nothing here. HTTP 000 resource unavailable. (000) server busy. Error 000 access refused. (000) something went wrong. Status: 000 request failed. 000 gateway did not answer. HTTP 000 gateway did not answer. Code 000 - nothing here. 000 access refused. 000 request failed. 000 server busy. 000 resource unavailable.
-000 Forbidden. You do not have permission to view this directory. You don't have permission to access this resource. Access denied. Request blocked by the firewall. Reference 0A0. Access to this page is forbidden.
-000 Bad Gateway. nginx. proxy/0.0. apache. 000 Gateway timeout. 000 Service unavailable. Service temporarily unavailable. We are down for maintenance and will be back soon. The server is temporarily unable to service your request.
-000 Internal Server Error. The server met an unexpected condition. Contact the administrator. The server encountered an internal error or misconfiguration. Internal Server Error - contact webmaster.
-Error establishing a database connection. Could not connect to the database. MySQL error. Query failed.
-Fatal error: Uncaught Error: call to undefined function page_head() in /srv/web/index.php on line 000. Warning: include(config/site.inc): failed to open stream: No such file or directory in /srv/web/index.php on line 000. Parse error: syntax error, unexpected end of file. Notice: Undefined variable in index.php on line 000. Undefined index.
-Traceback (most recent call last): File "/srv/app/views.py", line 000, in render KeyError: 'profile' AttributeError: NoneType object has no attribute. TypeError. ValueError. Exception in thread main java.lang.NullPointerException at.
-Too many requests. Slow down and try again in 000 seconds. Rate limit exceeded. Request timed out. Connection refused. Connection timed out.
-Oops! We can’t find that page. It may have moved. Try the search box or go back home. Sorry, something went wrong. Try again later. Please go back. Return to the start page. The link may be outdated. Contact the webmaster. If this persists, write to support. Try again later (ref 000). Please go back (ref 000)! Contact the webmaster (ref 000). Return to the start page (ref 000). If this persists, write to support (ref 000). The link may be outdated (ref 000).
-Account suspended. This hosting account is overdue. Please contact billing. This account has been suspended. This domain is parked. Buy this domain or learn about related searches. This domain is for sale. Your session has expired. Sign in again to continue. Please log in again. Index of /~user. Parent Directory. Server at port 00. Index of / Name Last modified Size Description.
-Seite nicht gefunden. Die angeforderte Seite existiert nicht mehr. Fehler 000. Erreur 000. La page demandée est introuvable. Page introuvable. Página no encontrada. El enlace que siguió puede estar roto. Página não encontrada. Erro 000. Nie znaleziono strony. Błąd 000. Страница не найдена. Ошибка 000. 页面未找到. 找不到页面. Pagina non trovata.
-""".strip().split("\n")
-# Notices that scripts or a browser check are needed.
-NOTICES = """
-You need to enable JavaScript to run this app. Please enable JavaScript to continue. Please enable JavaScript. JavaScript is required. This site requires scripts. Please turn them on and reload. JavaScript is disabled in your browser, so this profile cannot be shown. Enable JavaScript and cookies to continue.
-Checking your browser before you continue. This takes a few seconds. Checking your browser before access. Please verify that you are human. Scripts must be allowed. Verify you are human by completing the action below. Just a moment...
-Your browser is not supported. Use a modern browser with scripting enabled. Active scripting is off. The page viewer cannot start. Loading… if nothing happens, allow scripts for this page. Loading, please wait. Please upgrade your browser.
-Bitte aktivieren Sie JavaScript, um diese Seite zu sehen. Bitte JavaScript aktivieren. Veuillez activer JavaScript pour afficher le contenu. Por favor, active JavaScript para ver esta página. Ative o JavaScript para ver o conteúdo. Proszę włączyć JavaScript, aby zobaczyć stronę. Включите JavaScript для просмотра страницы. 请启用JavaScript以查看此页面.
-""".strip().split("\n")
-# Parts of such notices, put together by ``notices``.
-ASK = ("Please", "Kindly", "You must", "You need to", "To continue,", "In order to view this page,")
-SWITCH = ("enable", "switch on", "turn on", "activate", "allow", "permit")
-WHAT = ("JavaScript", "JS", "scripts", "scripting", "client-side code", "script execution", "cookies and JavaScript")
-WHY = ("to view this page", "in your browser settings", "and reload", "to continue", "to see this content", "and refresh the page", "for this site")
-#: Codes by which a crawl says why it has no pages.
+KNOWN = 50_000
+#: Share of the pages, and least number of hosts, on which a line that is hardly ever struck counts as repeated over unrelated hosts.
+REPEATED, HOSTS = 0.0005, 3
+#: Rounds in which the residue model learns from the pages it marks; after the first only pages whose likelihood ratio is not clear.
+ROUNDS = 3
+#: What a line is: nothing to see, text, text that is all link, a container tag.
+NOTHING, TEXT, LINKED, BOUNDARY = 0, 1, 3, 4
+#: Codes by which a crawl says why it has no pages: fixed values of the crawl.
 CODE = r"^(timeout|robots_disallowed|non_html|too_short|http_[1-5][0-9][0-9]|conn_error:[A-Za-z][A-Za-z0-9_.]*)$"
 
+_SCORED = [pa.field("_texts", pa.list_(pa.string())), *(pa.field(c, t) for c, t in (("_kinds", pa.binary()), ("_notices", pa.list_(pa.string())), ("shared", pa.binary()), ("scores", pa.binary()), ("body", pa.binary())))]
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z!?][^>]*>", re.S)
 _NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)")
 _SKIP = re.compile(r"(?i)<(script|style|title|noscript)\b.*?(?:</\1\s*>|$)")
 _NOSCRIPT = re.compile(r"(?is)<noscript\b[^>]*>(.*?)(?:</noscript\s*>|$)")
 _CONTAINER = frozenset("div td th tr table nav header footer main article section aside blockquote center address hr body html form head".split())
+_LINK = re.compile(r"(?is)<a\b.*?</a>")
+_OPENS = re.compile(r"(?i)<(script|style|noscript|title)\b(?!.*</\1)")
+_DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[|»>:©]")
 
 
+@lru_cache(maxsize=KNOWN)
+def _line(bare: str) -> tuple[str, bool, bool]:
+    """(visible text, boundary, links only) of a line that stands neither in the head nor in a script."""
+    if "<" not in bare:
+        text = " ".join((html_.unescape(bare) if "&" in bare else bare).split())
+        return text, False, False
+    bare = _SKIP.sub("", bare)
+    text = " ".join(html_.unescape(_TAG.sub(" ", bare)).split())
+    if not text:
+        return "", any(n.lower() in _CONTAINER for n in _NAME.findall(bare)), False
+    low = bare.lower()
+    linked = "<a" in low and not re.search(r"\w", html_.unescape(_TAG.sub("", _LINK.sub("", bare))))
+    return text, False, linked
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     """(visible text, boundary, links only) of each line of a page, head, scripts and notices without scripts left out."""
     out = []
@@ -154,19 +101,10 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 out.append(("", False, False))
                 continue
             bare, head = bare[m.start() :], False
-        m = re.search(r"(?i)<(script|style|noscript|title)\b(?!.*</\1)", bare)
+        m = _OPENS.search(bare) if "<" in bare else None
         if m:
             inside, bare = m.group(1), bare[: m.start()]
-        bare = _SKIP.sub("", bare)
-        text = html_.unescape(_TAG.sub(" ", bare))
-        text = " ".join(text.split())
-        names = [n.lower() for n in _NAME.findall(bare)]
-        if text:
-            rest = re.sub(r"(?is)<a\b.*?</a>", "", bare)
-            linked = "<a" in bare.lower() and not re.search(r"\w", html_.unescape(_TAG.sub("", rest)))
-            out.append((text, False, linked))
-        else:
-            out.append(("", any(n in _CONTAINER for n in names), False))
+        out.append(_line(bare))
     return out
 
 
@@ -179,14 +117,41 @@ def _part_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*/*([^/?#]*)", 1)
 
 
+def plain(text: str) -> str:
+    """A line with its numbers alike."""
+    return _DIGITS.sub("0", text)
+
+
+def tokens_of(text: str) -> list[str]:
+    return ["0" if t.isdigit() else t for t in _TOKEN.findall(text.lower())]
+
+
+def line_features(lines: list[tuple[str, bool]], hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words, pairs of words and shape of each (line, links only), and the number of the line each slot is of."""
+    flat, sizes, shapes = [], [], []
+    for text, linked in lines:
+        w = tokens_of(text)
+        flat += ["^", *w, "$"]
+        sizes.append(len(w) + 2)
+        shapes.append(f"<{int(linked)}{min(len(text) // 40, 4)}")
+    if not lines:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    of = np.repeat(np.arange(len(lines)), sizes)
+    h = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+    ends = np.cumsum(sizes)
+    word = np.ones(len(flat), bool)
+    word[ends - 1] = word[np.r_[0, ends[:-1]]] = False
+    pair = np.ones(len(flat), bool)
+    pair[ends - 1] = False
+    one = _mix(h[word] + np.uint64(7))
+    two = _mix(h[pair] * np.uint64(31) + h[1:][pair[:-1]])
+    kind = _mix(np.fromiter(map(hashes.__getitem__, shapes), np.uint64, len(shapes)))
+    return (np.concatenate([one, two, kind]) >> np.uint64(19)).astype(np.int64) & (WORDS - 1), np.concatenate([of[word], of[pair], np.arange(len(lines))])
+
+
 def features(text: str, linked: bool, hashes: WordHash) -> np.ndarray:
-    """Slots of the words and pairs of words of a line; numbers count as one."""
-    w = tokens_of(text)
-    h = np.fromiter(map(hashes.__getitem__, ["^", *w, "$"]), np.uint64, len(w) + 2)
-    two = _mix(h[:-1] * np.uint64(31) + h[1:])
-    one = _mix(h[1:-1] + np.uint64(7))
-    kind = _mix(np.array([hashes[f"<{int(linked)}{min(len(text) // 40, 4)}"]], np.uint64))
-    return (np.concatenate([one, two, kind]) >> np.uint64(19)).astype(np.int64) & (WORDS - 1)
+    """Slots of one line; numbers count as one."""
+    return line_features([(text, linked)], hashes)[0]
 
 
 def common_lines(a: list[str], b: list[str]) -> tuple[set[int], float]:
@@ -380,144 +345,102 @@ def _aligned(distinct: DataFrame) -> DataFrame:
 
 
 def differenced(pages: DataFrame, keys: list[str], url: str, html: str) -> DataFrame:
-    """Each page with ``shared``: a byte per line, 1 struck by differencing, 0 own, 2 no page to compare with.
+    """Each page as lines: ``_texts``, ``_kinds`` (a byte per line), ``_notices`` (what shows without scripts) and ``shared``.
 
-    Pages of equal URL and equal lines are one until the result is expanded; those without a URL meet each
-    other as one URL. Null html has no row.
+    ``shared`` is a byte per line: 1 struck by differencing, 0 own, 2 no page to compare with. Pages of equal
+    URL and equal lines are one until the result is expanded; those without a URL meet each other as one URL.
+    ``_host`` is kept. Null html has no row.
     """
     rows = pages.select(*keys, F.coalesce(F.col(url), F.lit("")).alias("_url"), F.col(html).alias("_html")).where(F.col("_html").isNotNull())
     rows = rows.withColumn("_host", _host_of(F.col("_url"))).withColumn("_part", _part_of(F.col("_url"))).withColumn("_url", F.regexp_replace(F.regexp_replace("_url", r"(?s)#.*$", ""), r"/+$", ""))
     kinds = dict(rows.dtypes)
-    names = [*keys, "_html", "_host", "_part", "_url"]
+    names = [*keys, "_host", "_part", "_url"]
     form = ", ".join(f"`{k}` {kinds[k]}" for k in names)
+    strings = pa.list_(pa.string())
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
         for b in batches:
-            texts = [[t for t, _, _ in lines_of(x)] for x in b.column("_html").to_pylist()]
-            lines = [b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in x if t) for x in texts]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(lines, pa.binary()), pa.array([bytes(bool(t) for t in x) for x in texts], pa.binary())], [*names, "_lines", "_text"])
-
-    rows = stored(rows.select(*names).mapInArrow(parse, f"{form}, _lines binary, _text binary"), "parsed")
+            texts, marks, notices, lines = [], [], [], []
+            for page in b.column("_html").to_pylist():
+                seen = lines_of(page)
+                texts.append([t for t, _, _ in seen])
+                marks.append(bytes((LINKED if linked else TEXT) if t else BOUNDARY if edge else NOTHING for t, edge, linked in seen))
+                notices.append(notices_of(page))
+                if len(known) > KNOWN:
+                    known.clear()
+                hashes = []
+                for t in texts[-1]:
+                    if t:
+                        h = known.get(t)
+                        if h is None:
+                            h = known[t] = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                        hashes.append(h)
+                lines.append(b"".join(hashes))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(texts, strings), pa.array(marks, pa.binary()), pa.array(notices, strings), pa.array(lines, pa.binary())], [*names, "_texts", "_kinds", "_notices", "_lines"])
+
+    rows = stored(rows.select(*names, "_html").mapInArrow(parse, f"{form}, _texts array<string>, _kinds binary, _notices array<string>, _lines binary"), "parsed")
     site = rows.select(F.col("_host").alias("host"), F.col("_part").alias("part"), F.col("_url").alias("url"), F.col("_lines").alias("lines"))
     found = _aligned(site.distinct()).select(F.col("host").alias("_host"), F.col("part").alias("_part"), F.col("url").alias("_url"), F.col("lines").alias("_lines"), F.col("shared").alias("_shared"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = []
-            for text, shared in zip(b.column("_text").to_pylist(), b.column("_shared").to_pylist()):
-                m = np.frombuffer(text, np.uint8).copy()
+            for kind, shared in zip(b.column("_kinds").to_pylist(), b.column("_shared").to_pylist()):
+                m = np.frombuffer(kind, np.uint8) & 1
                 m[m > 0] = 2 if shared is None else np.frombuffer(shared, np.uint8)
                 marks.append(m.tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in [*keys, "_html"]), pa.array(marks, pa.binary())], [*keys, "_html", "shared"])
+            rest = [*keys, "_host", "_texts", "_kinds", "_notices"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(marks, pa.binary())], [*rest, "shared"])
 
     both = rows.join(found.hint("merge"), ["_host", "_part", "_url", "_lines"])
-    return both.select(*keys, "_html", "_text", "_shared").mapInArrow(mark, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _html string, shared binary")
+    return both.select(*keys, "_host", "_texts", "_kinds", "_notices", "_shared").mapInArrow(mark, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _host string, _texts array<string>, _kinds binary, _notices array<string>, shared binary")
 
 
-def tokens_of(text: str) -> list[str]:
-    return ["0" if t.isdigit() else t for t in _TOKEN.findall(text.lower())]
+def notices_of(page: str) -> list[str]:
+    """What a page shows only where scripts do not run."""
+    if "<noscript" not in page.lower():
+        return []
+    return [t for x in _NOSCRIPT.findall(page) if (t := " ".join(html_.unescape(_TAG.sub(" ", x)).split()))]
 
 
 class LineModel:
-    """Log odds of own against shared lines, by words; positive for content. A line that begins like FURNITURE is none."""
+    """Log odds of own against shared lines, by words; positive for content."""
 
     def __init__(self, own: np.ndarray, shared: np.ndarray):
-        hashes = WordHash()
-        self.starts: dict[str, list[list[str]]] = {}
-        for line in FURNITURE:
-            t = tokens_of(line)[:3]
-            self.starts.setdefault(t[0], []).append(t)
         a, b = own.sum() + 1, shared.sum() + 1
         self.odds = np.clip(np.log((own + 0.3) / (a + 0.3 * WORDS)) - np.log((shared + 0.3) / (b + 0.3 * WORDS)), -4, 4)
         self.odds[(own + shared) == 0] = 0
-        self.hashes = hashes
+        self.hashes = WordHash()
+        self.known: dict[tuple[str, bool], float] = {}
+
+    def scores(self, lines: list[tuple[str, bool]]) -> np.ndarray:
+        """The score of each (text, links only); new lines are scored in one go."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        keys = [(plain(t), linked) for t, linked in lines]
+        new = [k for k in dict.fromkeys(keys) if k not in self.known]
+        if new:
+            at, of = line_features(new, self.hashes)
+            total, n = np.bincount(of, weights=self.odds[at], minlength=len(new)), np.bincount(of, minlength=len(new))
+            self.known.update(zip(new, np.clip(total / np.sqrt(n) + 0.4, -4, 4).tolist()))
+        return np.array([self.known[k] for k in keys])
 
     def score(self, text: str, linked: bool) -> float:
-        t = tokens_of(text[:60])[:3]
-        if t and any(t[: len(x)] == x for x in self.starts.get(t[0], ())):
-            return -4.0
-        o = self.odds[features(text, linked, self.hashes)]
-        return float(np.clip(o.sum() / np.sqrt(len(o)) + 0.4, -4, 4))
-
-
-def _plain(text: str) -> str:
-    return re.sub(r"\d+", "000", text)
-
-
-def notices() -> list[str]:
-    return [f"{a} {b} {c} {d}." for i, a in enumerate(ASK) for j, b in enumerate(SWITCH) for k, c in enumerate(WHAT) for m, d in enumerate(WHY) if (i + j + k + m) % 5 == 0]
+        return float(self.scores([(text, linked)])[0])
 
 
-@lru_cache(maxsize=1)
-def residue_models() -> list[CharModel]:
-    """One model for each kind of residue, from the examples."""
-    places = []
-    for i, mark in enumerate(MARKS):
-        for j, p in enumerate(PLACES):
-            around = AROUND[(i + j) % len(AROUND)]
-            places.append(around % ((mark % p,) * around.count("%s")))
-    out = []
-    for texts in (places, FILLER, ERRORS, [*NOTICES * 3, *notices()]):
-        m = CharModel()
-        for t in texts:
-            m.add(" " + _plain(t) + " ", 1)
-        out.append(m.done())
-    return out
-
-
-class ResidueModel:
-    """Likelihood ratio of residue against natural prose, by windows."""
-
-    def __init__(self, natural: np.ndarray):
-        self.natural = CharModel(natural.reshape(3, -1)).done()
-        self.kinds = residue_models()
-
-    def marked_many(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text and each character of its plain form, whether it lies in a window that favours residue."""
-        if not texts:
-            return []
-        plain = [" " + _plain(t) + " " for t in texts]
-        slots = CharModel.slots("\0\0".join(plain) + "\0\0")
-        base = self.natural.logp_at(slots)
-        odds = np.stack([np.clip(m.logp_at(slots) - base, -6, 6) for m in self.kinds])
-        total = np.c_[np.zeros(len(self.kinds)), np.cumsum(odds, axis=1)]
-        out, at = [], 0
-        for t in plain:
-            w = min(WINDOW, len(t))
-            c = total[:, at : at + len(t) + 1]
-            best = (c[:, w:] - c[:, :-w]).max(axis=0)
-            good = np.flatnonzero(best > RATIO * w)
-            hit = np.zeros(len(t) + 1, np.int64)
-            np.add.at(hit, good, 1)
-            np.add.at(hit, good + w, -1)
-            out.append((np.cumsum(hit)[:-1] > 0)[1:-1])
-            at += len(t) + 2
-        return out
-
-    def shares(self, texts: list[str], known: dict[str, tuple[int, int]]) -> None:
-        """Put (characters marked, characters) of each new text into ``known``."""
-        new = list({t for t in texts if t not in known})
-        for t, m in zip(new, self.marked_many(new)):
-            known[t] = (int(m.sum()), len(m))
-
-    def coverage(self, lines: list[str], known: dict[str, tuple[int, int]] | None = None) -> float:
-        """Share of the characters of ``lines`` marked as residue."""
-        known = {} if known is None else known
-        self.shares(lines, known)
-        n = sum(known[x][1] for x in lines)
-        return sum(known[x][0] for x in lines) / n if n else 0.0
-
-
-def main_lines(lines: list[tuple[str, bool, bool]], shared: bytes, score, residue=None) -> list[int]:
-    """Numbers of the lines of the main body. ``residue``: text to its share of residue, which then counts as if it were content."""
+def main_lines(sizes: list[int], kinds: bytes, shared: bytes, scores: np.ndarray, residue: list[float] | None = None) -> list[int]:
+    """Numbers of the lines of the main body. ``residue``: the share of residue of each line, which then counts as if it were content."""
     blocks: list[list[tuple[int, float]]] = [[]]
-    for i, (text, boundary, linked) in enumerate(lines):
-        if boundary:
+    for i, kind in enumerate(kinds):
+        if kind == BOUNDARY:
             if blocks[-1]:
                 blocks.append([])
-        elif text:
-            s = STRUCK if shared[i] == 1 else score(text, linked)
-            if residue is not None and s < 1.5 and score(text, linked) > WORST and residue(text) > 0.6:
+        elif kind:
+            own = scores[i]
+            s = STRUCK if shared[i] == 1 else own
+            if residue is not None and s < 1.5 and own > WORST and residue[i] > 0.6:
                 s = 1.5
             blocks[-1].append((i, s))
     half = sum(map(len, blocks)) / 2
@@ -525,10 +448,10 @@ def main_lines(lines: list[tuple[str, bool, bool]], shared: bytes, score, residu
     if not blocks:
         return []
     # a line's weight grows with its length: prose says more than a label
-    total = [_weight(b, lines) for b in blocks]
+    total = [_weight(b, sizes) for b in blocks]
     if max(total) <= 0:
         blocks = [part for b in blocks for part in _split(b)]
-        total = [_weight(b, lines) for b in blocks]
+        total = [_weight(b, sizes) for b in blocks]
     best = int(np.argmax(total))
     if total[best] <= 0:
         return []
@@ -540,11 +463,11 @@ def main_lines(lines: list[tuple[str, bool, bool]], shared: bytes, score, residu
     return [i for b in blocks[lo : hi + 1] for i, s in b if s > -1.0]
 
 
-def _weight(block: list[tuple[int, float]], lines: list[tuple[str, bool, bool]], low: float = -1.5) -> float:
+def _weight(block: list[tuple[int, float]], sizes: list[int], low: float = -1.5) -> float:
     """Score of a block; a bad line between good ones, such as a remark within the text, does not count against it."""
     bad = [s < low for _, s in block]
     alone = [b and not (k and bad[k - 1]) and not (k + 1 < len(bad) and bad[k + 1]) for k, b in enumerate(bad)]
-    return sum(0 if a and len(block) > 1 else s * min(len(lines[i][0]), 200) ** 0.5 for (i, s), a in zip(block, alone))
+    return sum(0 if a and len(block) > 1 else s * min(sizes[i], 200) ** 0.5 for (i, s), a in zip(block, alone))
 
 
 def _split(block: list[tuple[int, float]], low: float = -1.5) -> list[list[tuple[int, float]]]:
@@ -559,115 +482,211 @@ def _split(block: list[tuple[int, float]], low: float = -1.5) -> list[list[tuple
     return [[(i, s) for i, s, _ in part] for part in out if part]
 
 
-class PageModels:
-    """Both models from the summed tables."""
+class Page(NamedTuple):
+    """A page as lines, with the scores of its lines and its main body by them."""
 
-    def __init__(self, tables: dict[str, np.ndarray]):
-        self.line = LineModel(tables["own"], tables["shared"])
-        self.residue = ResidueModel(tables["natural"])
-        self.shares: dict[str, tuple[int, int]] = {}
-        self.scores: dict[tuple[str, bool], float] = {}
+    texts: list[str]
+    kinds: bytes
+    shared: bytes
+    notices: list[str]
+    scores: np.ndarray
+    body: np.ndarray
 
-    def score(self, text: str, linked: bool) -> float:
-        s = self.scores.get((text, linked))
-        if s is None:
-            s = self.scores[(text, linked)] = self.line.score(text, linked)
-        return s
-
-    def share(self, text: str) -> float:
-        hit, n = self.shares[text]
-        return hit / n if n else 0.0
-
-    def read_many(self, pages: list[str], shared: list[bytes]) -> Iterator[tuple[list[int], bool]]:
-        """(lines of the main body, whether it is residue) of each page."""
-        if len(self.shares) > 100_000:
-            self.shares.clear(), self.scores.clear()
-        parsed = [lines_of(p) for p in pages]
-        self.residue.shares([t for p in parsed for t, _, linked in p if t and self.score(t, linked) > WORST], self.shares)
-        for page, lines, marks in zip(pages, parsed, shared):
-            if not any(t for t, _, _ in lines):
-                # nothing is shown without scripts but a notice
-                notice = [" ".join(html_.unescape(_TAG.sub(" ", x)).split()) for x in _NOSCRIPT.findall(page)]
-                yield [], self.residue.coverage([x for x in notice if x], self.shares) >= COVERAGE
-                continue
-            whole = main_lines(lines, marks, self.score, self.share)
-            hit = sum(self.shares[lines[i][0]][0] for i in whole)
-            n = sum(self.shares[lines[i][0]][1] for i in whole)
-            if n and hit >= COVERAGE * n:
-                yield whole, True
-            else:
-                yield main_lines(lines, marks, self.score), False
+    @staticmethod
+    def all_of(b: pa.RecordBatch) -> list[Page]:
+        cols = [b.column(c).to_pylist() for c in ("_texts", "_kinds", "shared", "_notices", "scores", "body")]
+        return [Page(*x[:4], np.frombuffer(x[4], np.float32), np.frombuffer(x[5], np.int32)) for x in zip(*cols)]
+
+
+def read_many(pages: list[Page], residue: ResidueModel) -> Iterator[tuple[list[int], bool]]:
+    """(main body, with residue counted as content; whether that is residue) of each page."""
+    seen = [[bool(t) and s > WORST for t, s in zip(p.texts, p.scores.tolist())] for p in pages]
+    residue.measure([t for p, ok in zip(pages, seen) for t in [*(x for x, k in zip(p.texts, ok) if k), *p.notices]])
+    for p, ok in zip(pages, seen):
+        if not any(p.texts):
+            yield [], residue.is_residue(p.notices)
+            continue
+        share = [residue.share(t) if k else 0.0 for t, k in zip(p.texts, ok)]
+        if any(x > 0.6 and (s < 1.5 or m == 1) for x, s, m in zip(share, p.scores, p.shared)):
+            whole = main_lines([len(t) for t in p.texts], p.kinds, p.shared, p.scores, share)
+        else:
+            whole = p.body.tolist()
+        yield whole, residue.is_residue([p.texts[i] for i in whole])
+
+
+def line_types(marked: DataFrame) -> DataFrame:
+    """(line, linked, own, shared, hosts): every distinct line of the corpus, how often it was found own and struck, on how many hosts it stands unstruck."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[tuple[str, bool, str], list[int]] = {}
+            for host, texts, kinds, shared in zip(*(b.column(c).to_pylist() for c in ("_host", "_texts", "_kinds", "shared"))):
+                for t, kind, m in zip(texts, kinds, shared):
+                    if t:
+                        seen.setdefault((plain(t), kind == LINKED, host), [0, 0, 0])[m] += 1
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in seen], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string()))), *(pa.array([n[i] for n in seen.values()], pa.int64()) for i in range(3))], ["line", "linked", "host", "own", "shared", "alone"])
+
+    got = marked.select("_host", "_texts", "_kinds", "shared").mapInArrow(run, "line string, linked boolean, host string, own long, shared long, alone long")
+    # a line of every host is no hot key: it is counted by host first
+    got = got.groupBy("line", "linked", "host").agg(*(F.sum(c).alias(c) for c in ("own", "shared", "alone")))
+    return got.groupBy("line", "linked").agg(F.sum("own").alias("own"), F.sum("shared").alias("shared"), F.count_if(F.col("own") + F.col("alone") > 0).alias("hosts"))
+
+
+def line_tables(types: DataFrame) -> dict[str, np.ndarray]:
+    """Word counts over distinct own and struck lines."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, hashes = {"own": np.zeros(WORDS, np.int64), "shared": np.zeros(WORDS, np.int64)}, WordHash()
+        for b in batches:
+            line, linked, own, shared = (b.column(c).to_pylist() for c in ("line", "linked", "own", "shared"))
+            for name, pick in (("shared", [s > 0 for s in shared]), ("own", [s == 0 and o > 0 for s, o in zip(shared, own)])):
+                at, _ = line_features([(t, x) for t, x, p in zip(line, linked, pick) if p], hashes)
+                total[name] += np.bincount(at, minlength=WORDS)
+        yield _tables(total)
 
-def page_tables(marked: DataFrame) -> dict[str, np.ndarray]:
-    """Word counts of own and shared lines where there was a page to compare with, character counts of long own lines."""
-    from quarrymill.llm.encodings import SLOTS
+    return summed(types.mapInArrow(run, "kind string, part int, at binary, n binary"), {"own": WORDS, "shared": WORDS})
 
-    sizes = {"own": WORDS, "shared": WORDS, "natural": 3 * SLOTS}
+
+def _chars(pages: DataFrame) -> np.ndarray:
+    """Character counts of the main bodies of scored pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shared = np.zeros(WORDS, np.int64), np.zeros(WORDS, np.int64)
-        natural = CharModel()
-        hashes = WordHash()
+        m = CharModel()
         for b in batches:
-            a, z, long = [], [], []
-            for page, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for (text, _, linked), m in zip(lines_of(page), marks):
-                    if text:
-                        if m == 1:
-                            z.append(features(text, linked, hashes))
-                        elif m == 0:
-                            a.append(features(text, linked, hashes))
-                        if m != 1 and len(text) >= LONG_LINE:
-                            long.append(" " + _plain(text) + " ")
-            for into, xs in ((own, a), (shared, z)):
-                if xs:
-                    into += np.bincount(np.concatenate(xs), minlength=WORDS)
-            if long:
-                for k, s in enumerate(natural.slots("\0\0".join(long))):
-                    natural.counts[k] += np.bincount(s, minlength=SLOTS)
-        yield _tables({"own": own, "shared": shared, "natural": natural.counts.ravel()})
-
-    return summed(marked.select("_html", "shared").mapInArrow(run, "kind string, part int, at binary, n binary"), sizes)
-
-
-def read_pages(pages: DataFrame, keys: list[str], url: str, html: str) -> tuple[DataFrame, dict[str, np.ndarray]]:
+            m.add_all([f" {plain(p.texts[i])} " for p in Page.all_of(b) for i in p.body])
+        yield _tables({"natural": m.counts.ravel()})
+
+    return summed(pages.mapInArrow(run, "kind string, part int, at binary, n binary"), {"natural": 3 * SLOTS})["natural"]
+
+
+def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: DataFrame | None = None) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """(the key columns, main array<int>: lines of the main body, residue boolean; the tables of the models).
 
-    A page that is residue has no main body. Null and empty html have a row without lines; every page has
-    one, copies included; an empty table gives an empty result.
+    A page that is residue has no main body. Null html has no row, empty html one without lines; every page
+    has one, copies included; an empty table gives an empty result. ``seeds``: a column of texts known to be
+    residue, beside what the pages tell themselves.
     """
+    sc = pages.sparkSession.sparkContext
     marked = stored(differenced(pages, keys, url, html), "differenced")
-    tables = page_tables(marked)
-    shared = pages.sparkSession.sparkContext.broadcast(tables)
+    types = stored(line_types(marked), "line_types")
+    tables = line_tables(types)
+    line_model = sc.broadcast({k: tables[k] for k in ("own", "shared")})
     kinds = dict(marked.dtypes)
-    form = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", main array<int>, residue boolean"
+    form = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    rest = [*keys, "_texts", "_kinds", "_notices", "shared"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LineModel(**line_model.value)
+        for b in batches:
+            texts, marks, shared = (b.column(c).to_pylist() for c in ("_texts", "_kinds", "shared"))
+            scores, bodies, sizes = [], [], []
+            for ts, ks, ms in zip(texts, marks, shared):
+                s = np.zeros(len(ts), np.float32)
+                s[[i for i, t in enumerate(ts) if t]] = model.scores([(t, k == LINKED) for t, k in zip(ts, ks) if t])
+                body = main_lines([len(t) for t in ts], ks, ms, s)
+                scores.append(s.tobytes())
+                bodies.append(np.array(body, np.int32).tobytes())
+                sizes.append(sum(len(ts[i]) for i in body))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(scores, pa.binary()), pa.array(bodies, pa.binary()), pa.array(sizes, pa.int32())], [*rest, "scores", "body", "size"])
+
+    lines = "_texts array<string>, _kinds binary, _notices array<string>, shared binary, scores binary, body binary"
+    scored = stored(marked.mapInArrow(score, f"{form}, {lines}, size int"), "scored")
+
+    # natural prose is learned from the longer half of the bodies, residue first from what repeats over hosts
+    steps = {r["step"]: r["count"] for r in scored.where("size > 0").groupBy(F.least(F.floor(4 * F.log2(F.col("size") + 1)), F.lit(ResidueModel.STEPS - 1)).alias("step")).count().collect()}
+    half, seen = 0, 0
+    for half in sorted(steps):
+        seen += steps[half]
+        if 2 * seen >= sum(steps.values()):
+            break
+    least = int(np.ceil(2 ** (half / 4))) - 1
+    tables["natural"] = _chars(scored.where(F.col("size") >= least).select("_texts", "_kinds", "shared", "_notices", "scores", "body"))
+    repeated = types.where((F.col("hosts") >= max(HOSTS, REPEATED * scored.count())) & (F.col("shared") * 4 <= F.col("own"))).select(F.col("line").alias("text"))
+    told = scored.select(F.explode("_notices").alias("text")).unionByName(repeated)
+    told = told if seeds is None else told.unionByName(seeds.toDF("text"))
+    first, every = seed_counts(told), tables["natural"]
+    tables["residue"], tables["bodies"] = first, np.zeros((2, ResidueModel.STEPS), np.int64)
+    sizes = {"bad": 3 * SLOTS, "long": 3 * SLOTS, "bodies": 2 * ResidueModel.STEPS}
+    clear, todo = np.zeros(2 * ResidueModel.STEPS, np.int64), scored
+
+    for step in range(ROUNDS):
+        known = sc.broadcast({k: tables[k] for k in ("natural", "residue", "bodies")})
+
+        def learn(b: pa.RecordBatch, model: ResidueModel, counts: dict, open_: list[int] | None) -> None:
+            for lo in range(0, b.num_rows, PAGES):
+                part = Page.all_of(b.slice(lo, PAGES))
+                bad, long = [], []
+                for i, (p, (body, hit)) in enumerate(zip(part, read_many(part, model))):
+                    size = sum(len(p.texts[j]) for j in body)
+                    ratio = model.ratio([p.texts[j] for j in body])
+                    if open_ is not None and (ratio > UNCLEAR * size or not body):
+                        open_.append(lo + i)
+                    elif hit or ratio < -CONFIDENT:
+                        counts["bodies"][int(hit) * ResidueModel.STEPS + model.step(size)] += 1
+                    if hit:
+                        bad += [f" {plain(p.texts[j])} " for j in body]
+                        if sum(len(p.texts[j]) for j in p.body) >= least:
+                            long += [f" {plain(p.texts[j])} " for j in p.body]
+                counts["bad"].add_all(bad)
+                counts["long"].add_all(long)
+
+        def fresh() -> dict:
+            return {"bad": CharModel(), "long": CharModel(), "bodies": np.zeros(2 * ResidueModel.STEPS, np.int64)}
+
+        def count(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            model, counts = ResidueModel(known.value), fresh()
+            for b in batches:
+                learn(b, model, counts, None)
+            yield _tables({k: getattr(v, "counts", v).ravel() for k, v in counts.items()})
+
+        def screen(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            # the pages that are not clear go on as they are; what the clear ones add to the counts is one row of bytes
+            model, counts = ResidueModel(known.value), fresh()
+            for b in batches:
+                open_: list[int] = []
+                learn(b, model, counts, open_)
+                t = b.take(pa.array(open_, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.nulls(len(open_), pa.binary())], [*b.schema.names, "clear"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, b_.type) for b_ in _SCORED] + [pa.array([counts["bodies"].tobytes()], pa.binary())], [*(f.name for f in _SCORED), "clear"])
+
+        if step == 0:
+            got_ = stored(scored.select("_texts", "_kinds", "_notices", "shared", "scores", "body").mapInArrow(screen, f"{lines}, clear binary"), "unclear")
+            for r in got_.where("clear is not null").select("clear").collect():  # one row a task
+                clear = clear + np.frombuffer(r["clear"], np.int64)
+            todo = got_.where("clear is null").drop("clear")
+        got = summed(todo.mapInArrow(count, "kind string, part int, at binary, n binary"), sizes)
+        tables["natural"] = np.maximum(every - got["long"], 0)
+        tables["residue"] = first + got["bad"]
+        tables["bodies"] = (clear + got["bodies"]).reshape(2, -1)
+    last = sc.broadcast({k: tables[k] for k in ("natural", "residue", "bodies")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = PageModels(shared.value)
+        model = ResidueModel(last.value)
         for b in batches:
             got = []
             for lo in range(0, b.num_rows, PAGES):
-                part = b.slice(lo, PAGES)
-                got += models.read_many(part.column("_html").to_pylist(), part.column("shared").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([[] if r else m for m, r in got], pa.list_(pa.int32())), pa.array([r for _, r in got], pa.bool_())], [*keys, "main", "residue"])
+                part = Page.all_of(b.slice(lo, PAGES))
+                got += [([] if bad else p.body.tolist(), bad) for p, (_, bad) in zip(part, read_many(part, model))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([m for m, _ in got], pa.list_(pa.int32())), pa.array([r for _, r in got], pa.bool_())], [*keys, "main", "residue"])
+
+    return scored.drop("size").mapInArrow(run, form + ", main array<int>, residue boolean"), tables
+
 
-    return marked.mapInArrow(run, form), tables
+def not_codes(df: DataFrame, keys: list[str], text: str, code: str = CODE) -> DataFrame:
+    """The keys and texts that are filled and do not have the form of a failure code."""
+    return df.select(*keys, F.col(text).alias("_text")).where((F.length("_text") > 0) & ~F.col("_text").rlike(code))
 
 
 def residue_texts(df: DataFrame, keys: list[str], text: str, tables: dict[str, np.ndarray], code: str = CODE) -> DataFrame:
     """The keys of short texts that are residue where a code should stand; null, empty and proper codes are none."""
-    shared = df.sparkSession.sparkContext.broadcast(tables)
-    rows = df.select(*keys, F.col(text).alias("_text")).where((F.length("_text") > 0) & ~F.col("_text").rlike(code))
+    shared = df.sparkSession.sparkContext.broadcast({k: tables[k] for k in ("natural", "residue", "bodies")})
 
     @F.pandas_udf("boolean")
     def is_residue(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = ResidueModel(shared.value["natural"])
-        known: dict[str, bool] = {}
+        model = ResidueModel(shared.value)
         for s in texts:
-            for t in set(s):
-                if t not in known:
-                    known[t] = model.coverage([html_.unescape(_TAG.sub(" ", t)) if _TAG.sub("", t).strip() else t]) >= COVERAGE
-            yield pd.Series([known[t] for t in s])
+            shown = [html_.unescape(_TAG.sub(" ", t)) if _TAG.sub("", t).strip() else t for t in s]
+            model.measure(shown)
+            yield pd.Series([model.is_residue([t], even=True) for t in shown], dtype=bool)
 
-    return rows.where(is_residue("_text")).select(*keys)
+    return not_codes(df, keys, text, code).where(is_residue("_text")).select(*keys)

@@ -48,17 +48,22 @@ def page_rows(crawls: DataFrame) -> DataFrame:
     return crawls.select("crawl_id", F.posexplode("pages").alias("page_no", "p")).select("crawl_id", "page_no", F.col("p.url").alias("url"), F.col("p.html").alias("html"))
 
 
+def _read_pages(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    crawls = table(spark, d, "crawl_results")
+    odd = page_text.not_codes(crawls, [], "reason")
+    return page_text.read_pages(page_rows(crawls), ["crawl_id", "page_no"], "url", "html", odd)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages without content of their own, and reasons that are no failure code but such text (page_no -1)."""
-    crawls = table(spark, d, "crawl_results")
-    read, tables = page_text.read_pages(page_rows(crawls), ["crawl_id", "page_no"], "url", "html")
-    reasons = page_text.residue_texts(crawls, ["crawl_id"], "reason", tables).select("crawl_id", F.lit(-1).alias("page_no"))
+    read, tables = _read_pages(spark, d)
+    reasons = page_text.residue_texts(table(spark, d, "crawl_results"), ["crawl_id"], "reason", tables).select("crawl_id", F.lit(-1).alias("page_no"))
     return read.where("residue").select("crawl_id", "page_no").unionByName(reasons)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the main body of every page that has one."""
-    read, _ = page_text.read_pages(page_rows(table(spark, d, "crawl_results")), ["crawl_id", "page_no"], "url", "html")
+    read, _ = _read_pages(spark, d)
     return read.where(~F.col("residue")).select("crawl_id", "page_no", F.explode("main").alias("line_no"))
 
 

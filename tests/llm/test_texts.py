@@ -316,3 +316,30 @@ def test_runs_of_copies_give_what_every_pair_gives():
                 if want is not None:
                     break
             assert settled and got == want
+
+
+def test_wording_never_seen_is_found_where_it_stands_in_place_of_content(spark):
+    rows, _ = corpus()
+    known = ["<h1>404 Not Found</h1>", "<p>lorem ipsum lorem ipsum</p>", "<p>{{ name }} | {{ title }}</p>", "<p>You need to enable JavaScript.</p>", "<h1>Service Unavailable</h1>"]
+    rows += [(400 + i, 0, f"https://seen{i}.edu/~x/", page("t", known[i % len(known)])) for i in range(15)]
+    held_out = [
+        "Segmentation fault (core dumped)", "ORA-12541: TNS: no listener", "This space intentionally left blank.", "Kernel panic: attempted to kill init", "Your licence for this module has run out.",
+        "Disk quota exceeded for this user", "The resource is locked by another process.", "Template author: put the name of the teacher here", "Insert abstract", "We could not reach the upstream host.",
+        "Script execution is blocked; unblock it and press F5.", "Nothing to see, move along.", "Invalid token in request header", "Sorry, this profile is gone.", "{% person.phone %}",
+    ]
+    rows += [(500 + i, 0, f"https://new{i}.edu/~x/", page("t", f"<p>{x}</p>")) for i, x in enumerate(held_out)]
+    read, _ = page_text.read_pages(spark.createDataFrame(rows, "crawl_id long, page_no int, url string, html string").repartition(5), ["crawl_id", "page_no"], "url", "html")
+    bad = {r["crawl_id"] for r in read.where("residue").collect()}
+    assert len([i for i in bad if i >= 500]) >= 12
+    assert not [i for i in bad if i < 400]
+
+
+def test_repeated_lines_train_the_line_model_once():
+    types = [("Share this with a friend", False, 500, 3, 400)] + [(f"own words number {chr(97 + i)} and more {chr(98 + i)}", False, 1, 0, 1) for i in range(20)]
+    own, shared = np.zeros(page_text.WORDS, np.int64), np.zeros(page_text.WORDS, np.int64)
+    hashes = page_text.WordHash()
+    for line, linked, o, s, _ in types:
+        at = page_text.features(line, linked, hashes)
+        np.add.at(shared if s else own, at, 1)
+    model = page_text.LineModel(own, shared)
+    assert model.score("Share this with a friend", False) < -2 < 0 < model.score("own words number c and more d", False)
