@@ -6,6 +6,10 @@ entities. White space and word characters are Unicode's throughout ((?U)).
 
 from __future__ import annotations
 
+import re
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,9 +50,19 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+@lru_cache(maxsize=1)
+def _letters() -> str:
+    """Ranges of all letters and digits Python knows, for a character class."""
+    word = bytes(chr(i).isalnum() for i in range(sys.maxunicode + 1))
+    return "".join(f"\\x{{{m.start():x}}}-\\x{{{m.end() - 1:x}}}" for m in re.finditer(b"\1+", word))
+
+
 def clean_text(c: Column) -> Column:
-    """Runs of white space to one space, punctuation but ``-``, ``?`` and ``_`` removed, lower case."""
-    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), r"(?U)[^\p{L}\p{N}_\s\-?]", ""))
+    """Runs of white space to one space, punctuation but ``-``, ``?`` and ``_`` removed, lower case.
+
+    Characters younger than the JVM's tables are judged by those of Python.
+    """
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), rf"(?U)[^\p{{L}}\p{{N}}_\s\-?[\p{{Cn}}&&[{_letters()}]]]", ""))
 
 
 def words(c: Column) -> Column:

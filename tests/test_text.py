@@ -4,7 +4,7 @@ import hashlib
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ def test_clean_tokens_keywords_question(spark):
 
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(st.characters(codec="utf-8", exclude_categories=("Cc", "Cs", "Cn", "Mn", "Mc", "Me")), max_size=60), min_size=1, max_size=20))
+@example(["\U00031350", "\U0001fae8 ok", "\U0001e4d0x"])
 def test_clean_text_equals_python(spark, texts):
     for s, g in zip(texts, run(spark, texts, c=tx.clean_text(F.col("t")))):
         # lower-casing of a few letters depends on the Unicode version
