@@ -16,10 +16,12 @@ fixed number of slots.
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +41,23 @@ STRETCH = re.compile(r"[^\x00-\x7f]+(?: [^\x00-\x7f]+)*")
 #: What UTF-8 read wrongly usually held: Latin letters and signs, Cyrillic, typographic signs, Han and its punctuation.
 USUAL = re.compile("[\u00a0-\u017f\u0400-\u045f\u2010-\u203a\u20ac\u2122\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]")
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
+#: Character references, save those for the signs of markup; and those by number for ASCII, which are left as they are.
+REFERENCE = r"&(?:#(?:[0-9]{3,7}(?![0-9])|[xX][0-9a-fA-F]{2,6}(?![0-9a-fA-F]))|(?!amp;|lt;|gt;|quot;|apos;|nbsp;)[A-Za-z][A-Za-z0-9]{1,31});?"
+_REFERENCE = re.compile(REFERENCE)
 LONGEST = 48
 BATCH = 1000
 
 
+def unreferenced(text: str) -> str:
+    """``text`` with the references to characters beyond ASCII as these characters; all others stay."""
+
+    def one(m: re.Match) -> str:
+        c = html.unescape(m.group())
+        return m.group() if c.isascii() else c
+
+    return _REFERENCE.sub(one, text)
+
+
 class _Loose:
     """Encoding back into bytes as lenient readers decode: bytes without a character are the control characters of that number."""
 
@@ -359,10 +374,19 @@ def _add_all(m: CharModel, items: list[tuple[str, int]]) -> None:
 def garbled(df: DataFrame, keys: list[str], text: str, margin: float = MARGIN, with_text: bool = False) -> DataFrame:
     """The keys of rows with garbled text, stretches int, lost int and, if asked for, restored string.
 
-    ``restored`` is null where characters are lost. Null, empty and ASCII texts are never garbled and cost no
-    Python. Equal rows come out once each; nothing is cut off.
+    Characters written as references are judged like any others, and ``restored`` has them as characters. It
+    is null where characters are lost. Null and empty texts and those of ASCII alone are never garbled and cost
+    no Python. Equal rows come out once each; nothing is cut off.
     """
-    rows = stored(df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7F]")), "beyond_ascii")
+
+    @F.pandas_udf("string")
+    def read(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(unreferenced, na_action="ignore")
+
+    t = F.col(text)
+    rows = df.select(*keys, F.coalesce(read(F.when(t.rlike(REFERENCE), t)), t).alias("_text"))
+    rows = stored(rows.where(F.col("_text").rlike(r"[^\x00-\x7F]")), "beyond_ascii")
     sc = df.sparkSession.sparkContext
     names = list(keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

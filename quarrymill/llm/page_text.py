@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import html as html_
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from quarrymill.llm.encodings import SLOTS, CharModel
 from quarrymill.llm.residue import ResidueModel, seed_counts
 from quarrymill.llm.words import WordHash, _mix
-from quarrymill.runtime import slots, stored
+from quarrymill.runtime import discard, slots, stored
 
 WORDS = 1 << 18
 #: Pages of a task that aligns them, and how many beyond either end it sees at first; neither changes a result.
@@ -266,13 +267,24 @@ def _site(pages: list[tuple[str, str, str, list]], ends: tuple[bool, bool] = (Tr
     return out
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes, none longer than needed, compressed."""
+    kind = next(t for t in ("<u1", "<u2", "<u4", "<u8") if values.max(initial=0) <= np.iinfo(t).max)
+    return kind[1:].encode() + zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[2:]), "<" + raw[:2].decode()).astype(np.int64)
+
+
 def _tables(kinds: dict[str, np.ndarray], parts: int = 64) -> pa.RecordBatch:
+    """The filled places of tables of counts, by parts: their gaps and their values."""
     rows = []
     for name, v in kinds.items():
         for p, x in enumerate(np.split(v, parts)):
-            at = np.flatnonzero(x).astype("<i4")
+            at = np.flatnonzero(x)
             if len(at):
-                rows.append((name, p, at.tobytes(), x[at].astype("<i8").tobytes()))
+                rows.append((name, p, _packed(np.diff(at, prepend=0)), _packed(x[at])))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["kind", "part", "at", "n"])
 
 
@@ -280,21 +292,20 @@ def summed(tables: DataFrame, sizes: dict[str, int], parts: int = 64) -> dict[st
     """Add up (kind, part, at, n) of all tasks in the cluster; only the fixed-size sums reach the driver."""
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        total: dict[int, int] = {}
-        at = np.concatenate([np.frombuffer(x, "<i4") for x in t.column("at").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("n").to_pylist()])
-        u, inv = np.unique(at, return_inverse=True)
-        total = np.bincount(inv, weights=n).astype("<i8")
-        return pa.table({"kind": pa.array([key[0].as_py()], pa.string()), "part": pa.array([key[1].as_py()], pa.int32()), "at": pa.array([u.astype("<i4").tobytes()], pa.binary()), "n": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(sizes[key[0].as_py()] // parts, np.int64)
+        for at, n in zip(t.column("at").to_pylist(), t.column("n").to_pylist()):
+            total[np.cumsum(_unpacked(at))] += _unpacked(n)
+        at = np.flatnonzero(total)
+        return pa.table({"kind": pa.array([key[0].as_py()], pa.string()), "part": pa.array([key[1].as_py()], pa.int32()), "at": pa.array([_packed(np.diff(at, prepend=0))], pa.binary()), "n": pa.array([_packed(total[at])], pa.binary())})
 
     out = {k: np.zeros(v, np.int64) for k, v in sizes.items()}
     for r in tables.groupBy("kind", "part").applyInArrow(add, "kind string, part int, at binary, n binary").collect():
-        out[r["kind"]][r["part"] * (sizes[r["kind"]] // parts) + np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<i8")
+        out[r["kind"]][r["part"] * (sizes[r["kind"]] // parts) + np.cumsum(_unpacked(r["at"]))] = _unpacked(r["n"])
     return out
 
 
-def _aligned(distinct: DataFrame) -> DataFrame:
-    """(host, part, url, lines, shared): a byte per line, 1 shared with a nearest page and 0 own; null without one.
+def _aligned(distinct: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """((host, part, url, lines, shared), the stored tables it reads): a byte per line, 1 shared with a nearest page and 0 own; null without one.
 
     Distinct pages are numbered in the order of host, first part and URL, and aligned in blocks of BLOCK
     numbers that also see the pages next to them. What is not settled by these is tried again with ever more
@@ -308,8 +319,8 @@ def _aligned(distinct: DataFrame) -> DataFrame:
     for r in sorted(rows.groupBy(task.alias("task")).count().collect()):  # one row a task
         before[r["task"]], total = total, total + r["count"]
     starts = F.array(*[F.lit(before.get(i, 0)).cast("long") for i in range(max(before, default=0) + 1)])
+    todo, reach, done, steps = None, REACH, [], [rows]
     rows = rows.withColumn("at", F.element_at(starts, (task + 1).cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1))
-    todo, reach, done = None, REACH, []
     form = "host string, part string, url string, lines binary, at long, shared binary, settled boolean"
 
     while True:
@@ -333,6 +344,7 @@ def _aligned(distinct: DataFrame) -> DataFrame:
             return t.append_column("shared", pa.array(shared, pa.binary())).append_column("settled", pa.array([got[i][1] for i in keep], pa.bool_()))
 
         got = stored(seen.groupBy("block").applyInArrow(align, form), "aligned")
+        steps.append(got)
         done.append(got.where("settled").select(*by, "shared"))
         todo = got.where(~F.col("settled")).select("at")
         if todo.isEmpty():
@@ -341,7 +353,7 @@ def _aligned(distinct: DataFrame) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out, steps
 
 
 def differenced(pages: DataFrame, keys: list[str], url: str, html: str) -> DataFrame:
@@ -381,7 +393,8 @@ def differenced(pages: DataFrame, keys: list[str], url: str, html: str) -> DataF
 
     rows = stored(rows.select(*names, "_html").mapInArrow(parse, f"{form}, _texts array<string>, _kinds binary, _notices array<string>, _lines binary"), "parsed")
     site = rows.select(F.col("_host").alias("host"), F.col("_part").alias("part"), F.col("_url").alias("url"), F.col("_lines").alias("lines"))
-    found = _aligned(site.distinct()).select(F.col("host").alias("_host"), F.col("part").alias("_part"), F.col("url").alias("_url"), F.col("lines").alias("_lines"), F.col("shared").alias("_shared"))
+    aligned, steps = _aligned(site.distinct())
+    found = aligned.select(F.col("host").alias("_host"), F.col("part").alias("_part"), F.col("url").alias("_url"), F.col("lines").alias("_lines"), F.col("shared").alias("_shared"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -394,7 +407,10 @@ def differenced(pages: DataFrame, keys: list[str], url: str, html: str) -> DataF
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(marks, pa.binary())], [*rest, "shared"])
 
     both = rows.join(found.hint("merge"), ["_host", "_part", "_url", "_lines"])
-    return both.select(*keys, "_host", "_texts", "_kinds", "_notices", "_shared").mapInArrow(mark, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _host string, _texts array<string>, _kinds binary, _notices array<string>, shared binary")
+    out = both.select(*keys, "_host", "_texts", "_kinds", "_notices", "_shared").mapInArrow(mark, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _host string, _texts array<string>, _kinds binary, _notices array<string>, shared binary")
+    out = stored(out, "differenced")
+    discard(rows, *steps)
+    return out
 
 
 def notices_of(page: str) -> list[str]:
@@ -567,7 +583,7 @@ def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: Da
     residue, beside what the pages tell themselves.
     """
     sc = pages.sparkSession.sparkContext
-    marked = stored(differenced(pages, keys, url, html), "differenced")
+    marked = differenced(pages, keys, url, html)
     types = stored(line_types(marked), "line_types")
     tables = line_tables(types)
     line_model = sc.broadcast({k: tables[k] for k in ("own", "shared")})
@@ -605,6 +621,7 @@ def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: Da
     told = scored.select(F.explode("_notices").alias("text")).unionByName(repeated)
     told = told if seeds is None else told.unionByName(seeds.toDF("text"))
     first, every = seed_counts(told), tables["natural"]
+    discard(marked, types)
     tables["residue"], tables["bodies"] = first, np.zeros((2, ResidueModel.STEPS), np.int64)
     sizes = {"bad": 3 * SLOTS, "long": 3 * SLOTS, "bodies": 2 * ResidueModel.STEPS}
     clear, todo = np.zeros(2 * ResidueModel.STEPS, np.int64), scored
@@ -658,6 +675,7 @@ def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: Da
         tables["natural"] = np.maximum(every - got["long"], 0)
         tables["residue"] = first + got["bad"]
         tables["bodies"] = (clear + got["bodies"]).reshape(2, -1)
+    discard(got_)
     last = sc.broadcast({k: tables[k] for k in ("natural", "residue", "bodies")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
