@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.counts import Shared, batch_of, summed
 from quarrymill.runtime import stored
 
 SLOTS = 1 << 20
@@ -341,25 +342,9 @@ def char_counts(df: DataFrame, text: str) -> np.ndarray:
             clean = [("".join(k), n) for k, n in seen.items() if not suspicious(k[1])]
             if clean:
                 _add_all(m, clean)
-        flat = m.counts.ravel()
-        if flat.any():
-            for p, part in enumerate(np.split(flat.astype("<i4"), 96)):
-                if part.any():
-                    at = np.flatnonzero(part).astype("<i4")
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["part", "at", "counts"])
-
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = np.zeros(3 * SLOTS // 96, "<i8")
-        for a, c in zip(t.column("at").to_pylist(), t.column("counts").to_pylist()):
-            total[np.frombuffer(a, "<i4")] += np.frombuffer(c, "<i4")
-        at = np.flatnonzero(total).astype("<i4")
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([at.tobytes()], pa.binary()), "counts": pa.array([total[at].tobytes()], pa.binary())})
-
-    out = np.zeros(3 * SLOTS, np.int64)
-    step = 3 * SLOTS // 96
-    for r in df.select(text).mapInArrow(run, "part int, at binary, counts binary").groupBy("part").applyInArrow(add, "part int, at binary, counts binary").collect():
-        out[r["part"] * step + np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["counts"], "<i8")
-    return out.reshape(3, SLOTS)
+        yield batch_of({"chars": m.counts.ravel()})
+
+    return summed(df.select(text).mapInArrow(run, "kind string, part int, at binary, n binary"), {"chars": 3 * SLOTS})["chars"].reshape(3, SLOTS)
 
 
 def _add_all(m: CharModel, items: list[tuple[str, int]]) -> None:
@@ -387,14 +372,13 @@ def garbled(df: DataFrame, keys: list[str], text: str, margin: float = MARGIN, w
     t = F.col(text)
     rows = df.select(*keys, F.coalesce(read(F.when(t.rlike(REFERENCE), t)), t).alias("_text"))
     rows = stored(rows.where(F.col("_text").rlike(r"[^\x00-\x7F]")), "beyond_ascii")
-    sc = df.sparkSession.sparkContext
     names = list(keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     every = char_counts(rows, "_text")
-    first = sc.broadcast(every)
+    first = Shared(df.sparkSession, {"chars": every})
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(CharModel(first.value).done(), margin)
+        judge = Judge(CharModel(first.value["chars"]).done(), margin)
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH):
                 b = whole.slice(lo, BATCH)
@@ -407,10 +391,10 @@ def garbled(df: DataFrame, keys: list[str], text: str, margin: float = MARGIN, w
                 yield pa.RecordBatch.from_arrays([b.column(j).take(take) for j in range(b.num_columns)] + [pa.array(bad, pa.bool_())], [*names, "_text", "_bad"])
 
     maybe = stored(rows.mapInArrow(suspects, f"{kinds}, _text string, _bad boolean"), "suspects")
-    clean = sc.broadcast(np.maximum(every - char_counts(maybe.where("_bad"), "_text"), 0))
+    clean = Shared(df.sparkSession, {"chars": np.maximum(every - char_counts(maybe.where("_bad"), "_text"), 0)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(CharModel(clean.value).done(), margin)
+        judge = Judge(CharModel(clean.value["chars"]).done(), margin)
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH):
                 b = whole.slice(lo, BATCH)

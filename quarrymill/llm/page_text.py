@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import html as html_
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -30,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.counts import Shared, batch_of, summed
 from quarrymill.llm.encodings import SLOTS, CharModel
 from quarrymill.llm.residue import ResidueModel, seed_counts
 from quarrymill.llm.words import WordHash, _mix
@@ -267,43 +267,6 @@ def _site(pages: list[tuple[str, str, str, list]], ends: tuple[bool, bool] = (Tr
     return out
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers as bytes, none longer than needed, compressed."""
-    kind = next(t for t in ("<u1", "<u2", "<u4", "<u8") if values.max(initial=0) <= np.iinfo(t).max)
-    return kind[1:].encode() + zlib.compress(values.astype(kind).tobytes(), 1)
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw[2:]), "<" + raw[:2].decode()).astype(np.int64)
-
-
-def _tables(kinds: dict[str, np.ndarray], parts: int = 64) -> pa.RecordBatch:
-    """The filled places of tables of counts, by parts: their gaps and their values."""
-    rows = []
-    for name, v in kinds.items():
-        for p, x in enumerate(np.split(v, parts)):
-            at = np.flatnonzero(x)
-            if len(at):
-                rows.append((name, p, _packed(np.diff(at, prepend=0)), _packed(x[at])))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["kind", "part", "at", "n"])
-
-
-def summed(tables: DataFrame, sizes: dict[str, int], parts: int = 64) -> dict[str, np.ndarray]:
-    """Add up (kind, part, at, n) of all tasks in the cluster; only the fixed-size sums reach the driver."""
-
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = np.zeros(sizes[key[0].as_py()] // parts, np.int64)
-        for at, n in zip(t.column("at").to_pylist(), t.column("n").to_pylist()):
-            total[np.cumsum(_unpacked(at))] += _unpacked(n)
-        at = np.flatnonzero(total)
-        return pa.table({"kind": pa.array([key[0].as_py()], pa.string()), "part": pa.array([key[1].as_py()], pa.int32()), "at": pa.array([_packed(np.diff(at, prepend=0))], pa.binary()), "n": pa.array([_packed(total[at])], pa.binary())})
-
-    out = {k: np.zeros(v, np.int64) for k, v in sizes.items()}
-    for r in tables.groupBy("kind", "part").applyInArrow(add, "kind string, part int, at binary, n binary").collect():
-        out[r["kind"]][r["part"] * (sizes[r["kind"]] // parts) + np.cumsum(_unpacked(r["at"]))] = _unpacked(r["n"])
-    return out
-
-
 def _aligned(distinct: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """((host, part, url, lines, shared), the stored tables it reads): a byte per line, 1 shared with a nearest page and 0 own; null without one.
 
@@ -558,7 +521,7 @@ def line_tables(types: DataFrame) -> dict[str, np.ndarray]:
             for name, pick in (("shared", [s > 0 for s in shared]), ("own", [s == 0 and o > 0 for s, o in zip(shared, own)])):
                 at, _ = line_features([(t, x) for t, x, p in zip(line, linked, pick) if p], hashes)
                 total[name] += np.bincount(at, minlength=WORDS)
-        yield _tables(total)
+        yield batch_of(total)
 
     return summed(types.mapInArrow(run, "kind string, part int, at binary, n binary"), {"own": WORDS, "shared": WORDS})
 
@@ -570,7 +533,7 @@ def _chars(pages: DataFrame) -> np.ndarray:
         m = CharModel()
         for b in batches:
             m.add_all([f" {plain(p.texts[i])} " for p in Page.all_of(b) for i in p.body])
-        yield _tables({"natural": m.counts.ravel()})
+        yield batch_of({"natural": m.counts.ravel()})
 
     return summed(pages.mapInArrow(run, "kind string, part int, at binary, n binary"), {"natural": 3 * SLOTS})["natural"]
 
@@ -582,11 +545,11 @@ def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: Da
     has one, copies included; an empty table gives an empty result. ``seeds``: a column of texts known to be
     residue, beside what the pages tell themselves.
     """
-    sc = pages.sparkSession.sparkContext
+    spark = pages.sparkSession
     marked = differenced(pages, keys, url, html)
     types = stored(line_types(marked), "line_types")
     tables = line_tables(types)
-    line_model = sc.broadcast({k: tables[k] for k in ("own", "shared")})
+    line_model = Shared(spark, {k: tables[k] for k in ("own", "shared")})
     kinds = dict(marked.dtypes)
     form = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     rest = [*keys, "_texts", "_kinds", "_notices", "shared"]
@@ -627,7 +590,7 @@ def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: Da
     clear, todo = np.zeros(2 * ResidueModel.STEPS, np.int64), scored
 
     for step in range(ROUNDS):
-        known = sc.broadcast({k: tables[k] for k in ("natural", "residue", "bodies")})
+        known = Shared(spark, {k: tables[k] for k in ("natural", "residue", "bodies")})
 
         def learn(b: pa.RecordBatch, model: ResidueModel, counts: dict, open_: list[int] | None) -> None:
             for lo in range(0, b.num_rows, PAGES):
@@ -654,7 +617,7 @@ def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: Da
             model, counts = ResidueModel(known.value), fresh()
             for b in batches:
                 learn(b, model, counts, None)
-            yield _tables({k: getattr(v, "counts", v).ravel() for k, v in counts.items()})
+            yield batch_of({k: getattr(v, "counts", v).ravel() for k, v in counts.items()})
 
         def screen(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             # the pages that are not clear go on as they are; what the clear ones add to the counts is one row of bytes
@@ -676,7 +639,7 @@ def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: Da
         tables["residue"] = first + got["bad"]
         tables["bodies"] = (clear + got["bodies"]).reshape(2, -1)
     discard(got_)
-    last = sc.broadcast({k: tables[k] for k in ("natural", "residue", "bodies")})
+    last = Shared(spark, {k: tables[k] for k in ("natural", "residue", "bodies")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ResidueModel(last.value)
@@ -697,7 +660,7 @@ def not_codes(df: DataFrame, keys: list[str], text: str, code: str = CODE) -> Da
 
 def residue_texts(df: DataFrame, keys: list[str], text: str, tables: dict[str, np.ndarray], code: str = CODE) -> DataFrame:
     """The keys of short texts that are residue where a code should stand; null, empty and proper codes are none."""
-    shared = df.sparkSession.sparkContext.broadcast({k: tables[k] for k in ("natural", "residue", "bodies")})
+    shared = Shared(df.sparkSession, {k: tables[k] for k in ("natural", "residue", "bodies")})
 
     @F.pandas_udf("boolean")
     def is_residue(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarrymill.llm.counts import batch_of, summed
 from quarrymill.llm.encodings import SLOTS, CharModel
 from quarrymill.sources.records import PROFILE
 
@@ -55,13 +56,13 @@ def seeds() -> list[str]:
 
 def seed_counts(texts: DataFrame) -> np.ndarray:
     """Character counts of the distinct ones of ``texts`` and of the made ones."""
-    from quarrymill.llm.page_text import _tables, plain, summed
+    from quarrymill.llm.page_text import plain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = CharModel()
         for b in batches:
             m.add_all([f" {plain(t)} " for t in b.column(0).to_pylist() if t])
-        yield _tables({"seeds": m.counts.ravel()})
+        yield batch_of({"seeds": m.counts.ravel()})
 
     got = summed(texts.distinct().mapInArrow(run, "kind string, part int, at binary, n binary"), {"seeds": 3 * SLOTS})["seeds"]
     made = CharModel()
