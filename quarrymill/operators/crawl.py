@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from quarrymill.config import LINK_WORDS, SETTINGS
 from quarrymill.functions.text import page_hash, strip
 from quarrymill.functions.urls import netloc, normal, resolve, scheme
+from quarrymill.runtime import stored
 
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
 # Entities that matter in running text.
@@ -101,17 +103,29 @@ def crawl(sites: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], rules:
     """(site, url, html, reason, hop): the home page of each site and up to ``most_pages`` - 1 further pages.
 
     ``sites`` has site and start_url; ``fetch(df, column)`` adds html and reason. A home page that is not
-    allowed or fails ends its site with that reason; other pages that fail are skipped and don't count.
+    allowed or fails ends its site with that reason; other pages that fail are skipped and don't count. Every
+    page is fetched once, links in the order of the home page, and none after the last page that is wanted.
     """
     home = sites.select("site", F.regexp_replace("start_url", "/+$", "").alias("url"))
     home = allowed(home, rules, "url", agent) if rules is not None else home.withColumn("allowed", F.lit(True))
     barred = home.where(~F.col("allowed")).select("site", "url", F.lit(None).cast("string").alias("html"), F.lit("robots_disallowed").alias("reason"), F.lit(0).alias("hop"))
-    first = fetch(home.where("allowed").select("site", "url"), "url").select("site", "url", "html", "reason", F.lit(0).alias("hop"))
+    first = stored(fetch(home.where("allowed").select("site", "url"), "url").select("site", "url", "html", "reason", F.lit(0).alias("hop")), "home_pages")
     links = one_hop_links(first.where("reason is null"), "html", "url", "site", words=words).join(first.select("site", F.col("url").alias("href")), ["site", "href"], "left_anti").select("site", "pos", F.col("href").alias("url"))
     links = allowed(links, rules, "url", agent).where("allowed").drop("allowed") if rules is not None else links
-    more = fetch(links, "url").where("reason is null")
-    more = more.withColumn("hop", F.row_number().over(W.partitionBy("site").orderBy("pos", "url"))).where(F.col("hop") < most_pages)
-    return barred.unionByName(first).unionByName(more.select("site", "url", "html", "reason", "hop"))
+    links = stored(links.withColumn("n", F.row_number().over(W.partitionBy("site").orderBy("pos", "url"))), "links")
+    # as many links at a time as pages are still wanted: none is fetched that could turn out to be one too many
+    left = first.where("reason is null").select("site", F.lit(most_pages - 1).alias("want"), F.lit(0).alias("tried"))
+    more = []
+    while True:
+        wave = links.join(left, "site").where((F.col("n") > F.col("tried")) & (F.col("n") <= F.col("tried") + F.col("want"))).select("site", "url", "n")
+        got = stored(fetch(wave, "url").select("site", "url", "html", "reason", "n"), "wave")
+        more.append(got.where("reason is null"))
+        told = got.groupBy("site").agg(F.max("n").alias("last"), F.count_if(F.col("reason").isNull()).alias("good"))
+        left = stored(left.join(told, "site").select("site", (F.col("want") - F.col("good")).alias("want"), F.col("last").alias("tried")).where("want > 0"), "left")
+        if left.isEmpty():
+            break
+    hops = reduce(DataFrame.unionByName, more).withColumn("hop", F.row_number().over(W.partitionBy("site").orderBy("n")))
+    return barred.unionByName(first).unionByName(hops.select("site", "url", "html", "reason", "hop"))
 
 
 def fetch_from(pages: DataFrame, url: str = "url", html: str = "html", reason: str | None = None) -> Callable[[DataFrame, str], DataFrame]:

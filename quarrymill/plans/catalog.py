@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.config import PROFILE_SECTIONS, SITE_SECTIONS
+from quarrymill.config import NO_ANSWER, PROFILE_SECTIONS, SITE_SECTIONS
 from quarrymill.functions import text as tx
 from quarrymill.functions import urls
 from quarrymill.functions.vectors import top_k
@@ -30,10 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quarrymill.plans import catalog_jobs  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -61,22 +64,23 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).select("q_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query(f"select q_id, cast(rank as bigint) as number, coalesce(professor_slug, '') as name, coalesce(section_type, '') as section, coalesce(left(text, 40), '') as text, round(score, 6) as score from ({_TOPK}) t left join documents on vec_id = doc_id")
+@query(f"select q_id, cast(rank as bigint) as number, coalesce(professor_slug, '') as name, coalesce(section_type, '') as section, md5(coalesce(text, '')) as text_md5, round(score, 6) as score from ({_TOPK}) t left join documents on vec_id = doc_id")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """Matches as numbered citations; what a document lacks is empty."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "professor_slug", "section_type", "text")
     e = lambda c: F.coalesce(c, F.lit(""))
-    return _near(spark, d).join(docs, "vec_id", "left").select("q_id", F.col("rank").cast("long").alias("number"), e(F.col("professor_slug")).alias("name"), e(F.col("section_type")).alias("section"), e(F.left("text", F.lit(40))).alias("text"), F.round("score", 6).alias("score"))
+    return _near(spark, d).join(docs, "vec_id", "left").select("q_id", F.col("rank").cast("long").alias("number"), e(F.col("professor_slug")).alias("name"), e(F.col("section_type")).alias("section"), F.md5(e(F.col("text"))).alias("text_md5"), F.round("score", 6).alias("score"))
 
 
-@query("select v.vector_id, round(list_cosine_similarity(v.vec::double[], q.vec::double[]), 6) as score from chunk_vectors v, (select vec from chunk_vectors where vec is not null and list_sum(list_transform(vec, lambda x: x * x)) > 0 order by vector_id limit 1) q where v.vec is not null and list_sum(list_transform(v.vec, lambda x: x * x)) > 0")
+@query("select request_id, result_id, round(list_cosine_similarity(a.vec::double[], b.vec::double[]), 6) as score from retrieval_results r join chunk_vectors a on a.vector_id = r.query_vector_id join chunk_vectors b on b.vector_id = r.document_id where list_sum(list_transform(a.vec, lambda x: x * x)) > 0 and list_sum(list_transform(b.vec, lambda x: x * x)) > 0")
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of every chunk vector with the first one by id."""
+    """Cosine of query and document of every logged match, as the vectors stand now."""
     from quarrymill.functions.vectors import cosine
 
-    v = table(spark, d, "chunk_vectors").where("vec is not null").where(F.exists("vec", lambda x: x != 0))
-    q = v.orderBy("vector_id").limit(1).select(F.col("vec").alias("q"))
-    return v.crossJoin(F.broadcast(q)).select("vector_id", F.round(cosine(F.col("vec"), F.col("q")), 6).alias("score"))
+    v = table(spark, d, "chunk_vectors").select("vector_id", "vec")
+    r = table(spark, d, "retrieval_results").select("request_id", "result_id", "query_vector_id", "document_id")
+    both = r.join(v.select(F.col("vector_id").alias("query_vector_id"), F.col("vec").alias("a")), "query_vector_id").join(v.select(F.col("vector_id").alias("document_id"), F.col("vec").alias("b")), "document_id")
+    return both.select("request_id", "result_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("score")).where("score is not null")
 
 
 _RESULTS = "(select * from (select *, row_number() over (partition by result_id order by loaded_at desc, asked_at desc, document_id) as _n from retrieval_results) where _n = 1)"
@@ -85,7 +89,7 @@ _RESULTS = "(select * from (select *, row_number() over (partition by result_id
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Rows delivered twice count once, the latest load wins."""
     r = table(spark, d, "retrieval_results")
-    return r.groupBy("result_id").agg(F.max_by(F.struct(*r.columns), F.struct("loaded_at", "asked_at")).alias("r")).select("r.*")
+    return r.groupBy("result_id").agg(F.min_by(F.struct(*r.columns), F.struct(-F.unix_micros("loaded_at"), -F.unix_micros("asked_at"), "document_id")).alias("r")).select("r.*")
 
 
 @query(f"select request_id, result_id, cast(row_number() over (partition by request_id order by case when isnan(score) then null else score end desc nulls last, result_id) as bigint) as rank from {_RESULTS}")
@@ -144,10 +148,21 @@ def keyword_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").where("text is not null").select("chunk_id", F.array_join(tx.keywords(tx.clean_text(F.col("text"))), " ").alias("keywords"))
 
 
-@query(r"select doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'), regexp_extract_all(coalesce(text, ''), 'https?://[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')))), ' ') as found from documents")
+# RE2 knows word ends of ASCII only: other letters are written as one that none of these shapes has, but that is part of a word
+_ENTITIES = (
+    r"list_sort(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'), "
+    rf"regexp_extract_all(coalesce(text, ''), 'https?://[^{_SP[1:-1]}]+'), "
+    + ", ".join(rf"regexp_extract_all(_w, '{p}')" for p in (r"[\x{660}-\x{669}\x{966}-\x{96F}\x{FF10}-\x{FF19}\x{1D7CE}-\x{1D7FF}]+", r"\b[A-Z]{2,4}\s?[0-9]{3,4}\b", r"\b[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?\b", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"))
+    + ")))"
+)
+# letters beyond ASCII count as parts of words, signs and spaces do not
+_DOCS = r"(select doc_id, text, regexp_replace(regexp_replace(coalesce(text, ''), '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}\x{370}-\x{373}\x{376}-\x{377}\x{37B}-\x{37D}\x{386}\x{388}-\x{3FF}\x{400}-\x{481}\x{48A}-\x{52F}]', '_', 'g'), '[\p{Lo}\p{Lm}\p{M}]', '_', 'g') as _w from documents)"
+
+
+@query(f"select doc_id, array_to_string({_ENTITIES}, ' ') as found from {_DOCS}")
 def entity_lists(spark: SparkSession, d: str) -> DataFrame:
-    """E-mail addresses and links named in documents."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(tx.entities(F.col("text"), ("email", "url")), " ").alias("found"))
+    """All five kinds of entities in documents."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.entities(F.col("text")), " ").alias("found"))
 
 
 @query(r"select doc_id, case when regexp_matches(c, 'who|professor|faculty|teaches|advisor') then 'person' when regexp_matches(c, 'course|class|teach|syllabus') then 'course' when regexp_matches(c, 'research|work on|area|interest|lab') then 'research_area' when regexp_matches(c, 'where|location|campus') then 'location' else 'informational' end as intent, ends_with(rtrim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13) || chr(160)), '?') as is_question from (select doc_id, text, " + _CLEAN + " as c from documents)")
@@ -156,12 +171,17 @@ def query_intent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.intent(tx.clean_text(F.col("text"))).alias("intent"), tx.is_question(F.col("text")).alias("is_question"))
 
 
-@query()
+@query(
+    "select doc_id, md5(c) as cleaned, "
+    + r"case when regexp_matches(c, 'who|professor|faculty|teaches|advisor') then 'person' when regexp_matches(c, 'course|class|teach|syllabus') then 'course' when regexp_matches(c, 'research|work on|area|interest|lab') then 'research_area' when regexp_matches(c, 'where|location|campus') then 'location' else 'informational' end as intent, "
+    + "len(e) as n_entities, n as length, case when n < 3 then 'expand' when len(e) > 0 then 'hybrid' else 'semantic' end as strategy "
+    + f"from (select doc_id, {_CLEAN} as c, {_ENTITIES} as e, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SP}+'), lambda x: x <> '')) as n from {_DOCS})"
+)
 def query_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """The whole analysis of documents as queries; names as entities need Unicode word ends, which DuckDB's patterns lack."""
+    """The whole analysis of documents as queries."""
     t, c = F.col("text"), tx.clean_text(F.col("text"))
-    ents = tx.entities(t)
-    return table(spark, d, "documents").select("doc_id", c.alias("cleaned"), tx.intent(c).alias("intent"), tx.keywords(c).alias("keywords"), ents.alias("entities"), tx.token_count(c).alias("length"), tx.is_question(t).alias("is_question"), tx.strategy(tx.token_count(c), ents).alias("strategy"))
+    parts = table(spark, d, "documents").select("doc_id", c.alias("c"), tx.entities(t).alias("e"), tx.token_count(t).cast("long").alias("length"))
+    return parts.select("doc_id", F.md5("c").alias("cleaned"), tx.intent(F.coalesce("c", F.lit(""))).alias("intent"), F.size("e").cast("long").alias("n_entities"), "length", tx.strategy(F.col("length"), F.col("e")).alias("strategy"))
 
 
 @query("select section_type, case section_type " + " ".join(f"when '{k}' then '{v}'" for k, v in (PROFILE_SECTIONS | SITE_SECTIONS).items()) + " else upper(left(section_type, 1)) || lower(substr(replace(section_type, '_', ' '), 2)) end as label, count(*) as n from chunks where section_type is not null group by 1, 2")
@@ -271,8 +291,7 @@ def batch_plan(spark: SparkSession, d: str) -> DataFrame:
 @query("select vector_id, case when length(text) > 300 then left(text, 300) || '...' else text end as text from (select vector_id, text from chunks where vector_id is not null and text is not null order by vector_id, text limit 3)")
 def dry_run_preview(spark: SparkSession, d: str) -> DataFrame:
     """The first three chunks, cut: what a dry run shows."""
-    c = table(spark, d, "chunks").where("vector_id is not null and text is not null")
-    return c.orderBy("vector_id", "text").limit(3).select("vector_id", F.when(F.length("text") > 300, F.concat(F.left("text", F.lit(300)), F.lit("..."))).otherwise(F.col("text")).alias("text"))
+    return jobs.preview(table(spark, d, "chunks").where("vector_id is not null and text is not null"))
 
 
 @query("select count(*) filter (where length(text) between 2 and 2000) as allowed, count(*) filter (where length(text) not between 2 and 2000) as refused from documents")
@@ -371,44 +390,94 @@ def last_crawls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawl_results").where("slug is not null").groupBy("slug").agg(F.max_by("crawl_id", F.struct("fetched_at", "crawl_id")).alias("crawl_id"), F.count("*").alias("n"))
 
 
-def directory_page(esc: Callable) -> F.Column:
-    """A directory page as it would show a profile; for round trips through the parser."""
-    items = lambda c, link: F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.lit('<li class="single-people__aside-list-item">'), F.lit('<a href="/x">') if link else F.lit(""), esc(x), F.lit("</a>") if link else F.lit(""), F.lit("</li>"))), "")
-    block = lambda head, c, link: F.concat(F.lit(f'<div class="single-people__aside-block"><h3>{head}</h3><ul>'), items(c, link), F.lit("</ul></div>"))
-    points = lambda head, c: F.concat(F.lit(f'<div class="accordion-item"><button class="accordion-header">{head}</button><div class="accordion-content__inner"><ul class="wp-block-list">'), F.array_join(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.lit("<li>"), esc(x), F.lit("</li>"))), ""), F.lit("</ul></div></div>"))
-    one = lambda tag, cls, c: F.concat(F.lit(f'<{tag} class="{cls}">'), F.coalesce(esc(F.col(c)), F.lit("")), F.lit(f"</{tag}>"))
-    return F.concat(one("h1", "single-people__header-title", "name"), one("p", "single-people__header-description", "title"), block("Campus", "campuses", False), block("Area of Interest", "areas_of_interest", True), points("Education", "education"), points("Research Interests", "research_interests"))
+def _escaped(c: F.Column) -> F.Column:
+    return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
 
 
-@query(rf"select profile_id, nullif(regexp_replace(name, '^{_SP}+|{_SP}+$', '', 'g'), '') as name, nullif(title, '') as title, coalesce(array_to_string(campuses, '|'), '') as campuses, coalesce(array_to_string(areas_of_interest, '|'), '') as areas, coalesce(array_to_string(education, '|'), '') as education, coalesce(array_to_string(research_interests, '|'), '') as interests from profiles")
+def directory_page() -> F.Column:
+    """A directory page as it would show a profile; for round trips through the parser."""
+    none = F.array().cast("array<string>")
+    each = lambda c, shown: F.array_join(F.transform(F.coalesce(F.col(c), none), shown), "")
+    item = lambda x: F.concat(F.lit('<li class="single-people__aside-list-item">'), _escaped(x), F.lit("</li>"))
+    linked = lambda x: F.concat(F.lit('<li class="single-people__aside-list-item"><a href="/x"><svg><title>icon</title></svg>'), _escaped(x), F.lit("</a></li>"))
+    block = lambda head, inner: F.concat(F.lit(f'<div class="single-people__aside-block"><h3>{head}</h3><ul>'), inner, F.lit("</ul></div>"))
+    points = lambda head, c: F.concat(F.lit(f'<div class="accordion-item"><button class="accordion-header">{head}</button><div class="accordion-content__inner"><ul class="wp-block-list">'), each(c, lambda x: F.concat(F.lit("<li>"), _escaped(x), F.lit("</li>"))), F.lit("</ul></div></div>"))
+    one = lambda tag, cls, c: F.concat(F.lit(f'<{tag} class="{cls}">'), F.coalesce(_escaped(F.col(c)), F.lit("")), F.lit(f"</{tag}>"))
+    sites = F.array_join(F.transform(F.filter(F.coalesce("websites", F.array().cast("array<struct<text:string,href:string>>")), lambda w: w["href"].isNotNull()), lambda w: F.concat(F.lit('<p><a href="'), _escaped(w["href"]), F.lit('">'), _escaped(F.coalesce(w["text"], F.lit(""))), F.lit("</a> more</p>"))), "")
+    scholar = F.coalesce(F.concat(F.lit('<div class="single-people__aside-block"><h3>Google Scholar</h3><p><a href="'), _escaped(F.col("google_scholar")), F.lit('">here</a></p></div>')), F.lit(""))
+    photo = F.coalesce(F.concat(F.lit('<figure class="single-people__header-figure"><img src="'), _escaped(F.col("photo_url")), F.lit('"></figure>')), F.lit(""))
+    bio = F.coalesce(F.concat(F.lit('<div class="accordion-item"><button class="accordion-header">Biography</button><div class="accordion-content__inner"><p>'), F.replace(_escaped(F.col("biography")), F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p></div></div>")), F.lit(""))
+    return F.concat(
+        photo, one("h1", "single-people__header-title", "name"), one("p", "single-people__header-subtitle", "pronouns"), one("p", "single-people__header-description", "title"), F.lit('<p class="single-people__aside-roles">'), _escaped(F.array_join(F.coalesce("roles", none), ", ")), F.lit("</p>"),
+        block("Campus", each("campuses", item)), block("Area of Interest", each("areas_of_interest", linked)), F.lit('<div class="single-people__aside-block"><h3>Website</h3>'), sites, F.lit("</div>"), scholar, block("Contact", each("contact", item)),
+        bio, points("Education", "education"), points("Research Interests", "research_interests"), points("Labs and Groups", "labs_and_groups"), points("Projects", "projects"),
+    )
+
+
+_STRIPPED = lambda c: f"nullif(regexp_replace({c}, '^{_SP}+|{_SP}+$', '', 'g'), '')"
+_JOINED = lambda c: f"coalesce(array_to_string(list_filter(list_transform({c}, lambda x: regexp_replace(x, '^{_SP}+|{_SP}+$', '', 'g')), lambda x: x <> ''), '|'), '')"
+_LISTS = {"campuses": "campuses", "areas_of_interest": "areas", "contact": "contact", "education": "education", "research_interests": "interests", "labs_and_groups": "labs", "projects": "projects"}
+
+
+@query(
+    f"select profile_id, {_STRIPPED('name')} as name, {_STRIPPED('pronouns')} as pronouns, {_STRIPPED('title')} as title, photo_url, google_scholar, "
+    + ", ".join(f"{_JOINED(c)} as {a}" for c, a in _LISTS.items())
+    + f", coalesce(array_to_string(list_transform(roles, lambda x: regexp_replace(x, '^{_SP}+|{_SP}+$', '', 'g')), '|'), '') as roles"
+    + f", coalesce(array_to_string(list_transform(list_filter(websites, lambda w: w.href is not null), lambda w: regexp_replace(coalesce(w.text, ''), '^{_SP}+|{_SP}+$', '', 'g') || '>' || w.href), '|'), '') as websites"
+    + f", md5(nullif(array_to_string(list_filter(list_transform(string_split(biography, chr(10) || chr(10)), lambda x: regexp_replace(x, '^{_SP}+|{_SP}+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)), '')) as biography_md5 from profiles"
+)
 def profile_parse(spark: SparkSession, d: str) -> DataFrame:
     """Every profile shown as a directory page and parsed back."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    shown = table(spark, d, "profiles").select("profile_id", directory_page(esc).alias("html"))
-    got = profile_html.parse_profiles(shown, "html", "profile_id")
-    return got.select("profile_id", "name", "title", F.array_join("campuses", "|").alias("campuses"), F.array_join("areas_of_interest", "|").alias("areas"), F.array_join("education", "|").alias("education"), F.array_join("research_interests", "|").alias("interests"))
+    got = profile_html.parse_profiles(table(spark, d, "profiles").select("profile_id", directory_page().alias("html")), "html", "profile_id")
+    return got.select(
+        "profile_id", "name", "pronouns", "title", "photo_url", "google_scholar", *(F.array_join(c, "|").alias(a) for c, a in _LISTS.items()), F.array_join("roles", "|").alias("roles"),
+        F.array_join(F.transform("websites", lambda w: F.concat(w["text"], F.lit(">"), w["href"])), "|").alias("websites"), F.md5(F.col("biography")).alias("biography_md5"),
+    )
 
 
 # ---- models --------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(rf"select vector_id, 1024 as size, len(list_filter(regexp_split_to_array(lower(text), '{_SP}+'), lambda x: x <> '')) > 0 as is_unit from {_LAST} where coalesce(content_hash, '') <> 'sha256:' || substr(sha256(text), 1, 32)")
 def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Pending chunks with vectors of the offline embedder; unchanged ones never reach it."""
+    """Pending chunks with vectors of the offline embedder, their size and whether their length is one; unchanged ones never reach it."""
     last = state.last_wins(table(spark, d, "chunks"), "vector_id", "ingested_at", "chunk_id")
     new = last.select("vector_id", "text", tx.content_hash(F.col("text")).alias("content_hash"))
     todo = state.pending(new, last.select("vector_id", "content_hash"), "vector_id", "content_hash")
-    return todo.select("vector_id", external.embed(F.col("text"), lambda: external.HashEmbedder(64)).alias("values"))
+    made = todo.select("vector_id", external.embed(F.col("text")).alias("values"))
+    return made.select("vector_id", F.size("values").alias("size"), (F.abs(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x) - 1) < 1e-4).alias("is_unit"))
+
+
+_LIVE = f"(select *, row_number() over (partition by request_id order by case when isnan(score) then null else score end desc nulls last, result_id) as _r from {_RESULTS} r where exists (select 1 from chunks c where c.vector_id = r.document_id))"
 
 
-@query()
+@query(f"select a.request_id as question_id, coalesce(nullif(regexp_replace(split_part('[1] ' || coalesce(l.metadata.professor_name, '') || ' (' || coalesce(l.metadata.professor_title, '') || ') — ' || coalesce(l.metadata.section_type, ''), chr(10), 1), '\\s+$', ''), ''), '{NO_ANSWER.replace(chr(39), chr(39) * 2)}') as answer from (select distinct request_id from {_RESULTS}) a left join (select * from {_LIVE} where _r = 1) l on l.request_id = a.request_id where l.request_id is not null union all select request_id, '{NO_ANSWER.replace(chr(39), chr(39) * 2)}' from (select distinct request_id from {_RESULTS}) a where not exists (select 1 from {_LIVE} l where l.request_id = a.request_id)")
 def rag_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Logged requests answered from their matches by the offline model; requests without a match keep a row."""
+    """Logged requests answered from their matches by the offline model, which gives the head of the first; requests without a match keep a row."""
+    return retrieval.answers(*_asked(spark, d), external.complete).select("question_id", "answer")
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = _results(spark, d)
     asked = r.groupBy(F.col("request_id").alias("question_id")).agg(F.min("query_vector_id").alias("text"))
     live = r.join(table(spark, d, "chunks").select(F.col("vector_id").alias("document_id")).distinct(), "document_id", "left_semi")
-    matches = retrieval.ranked(live, "request_id", "score", "result_id").select(F.col("request_id").alias("question_id"), "rank", "metadata.*")
-    return retrieval.answers(asked, matches, external.complete).select("question_id", "answer")
+    return asked, retrieval.ranked(live, "request_id", "score", "result_id").select(F.col("request_id").alias("question_id"), "rank", "score", "metadata.*")
+
+
+@query(f"select request_id as question_id, md5('Context:' || chr(10) || string_agg('[' || _r || '] ' || coalesce(metadata.professor_name, '') || ' (' || coalesce(metadata.professor_title, '') || ') — ' || coalesce(metadata.section_type, '') || chr(10) || coalesce(metadata.text, ''), chr(10) || chr(10) order by _r) || chr(10) || chr(10) || 'Question: ' || min(q) || chr(10)) as prompt_md5 from (select l.*, min(a.query_vector_id) over (partition by l.request_id) as q from {_LIVE} l join {_RESULTS} a on a.result_id = l.result_id) group by request_id")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The message to the generator for each request with matches."""
+    asked, matches = _asked(spark, d)
+    live = matches.groupBy("question_id").agg(F.count("*").alias("n"))
+    ctx = retrieval.contexts(matches, "question_id")
+    return asked.join(live, "question_id").join(ctx, "question_id").select("question_id", F.md5(retrieval.prompt(F.col("context"), F.col("text"))).alias("prompt_md5"))
+
+
+@query(f"select result_id, printf('%.2f', score) as score_text from {_RESULTS} where score is not null and not isnan(score)")
+def citation_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of citations as they are shown."""
+    r = _results(spark, d).where("score is not null and not isnan(score)").select("result_id", F.col("result_no").alias("rank"), "score", "metadata.*")
+    return retrieval.citations(r, "result_id").select("result_id", "score_text")
 
 
 @query("select date_trunc('hour', asked_at) as hour, client, count(*) as n_results from retrieval_results where asked_at is not null group by 1, 2")

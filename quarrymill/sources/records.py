@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,41 +55,40 @@ def keys(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)\.json$", 1), F.lit("+"), F.lit("%2B"))).alias("slug")).distinct()
 
 
-def page_hashes(records: DataFrame) -> DataFrame:
-    """(slug, page_hash) where both are there; of several records of a slug the last counts."""
+def page_hashes(records: DataFrame, *order: str) -> DataFrame:
+    """(slug, page_hash) where both are there; of several records of a slug the last by ``order`` counts, ties by hash.
+
+    Without ``order`` that is loaded_at, if there is such a column; files in a folder have one record a slug.
+    """
+    order = order or (("loaded_at",) if "loaded_at" in records.columns else ())
     ok = records.where((F.col("slug") != "") & (F.col("page_hash") != ""))
-    return ok.groupBy("slug").agg(F.max_by("page_hash", F.struct(F.monotonically_increasing_id())).alias("page_hash")) if "loaded_at" not in records.columns else ok.groupBy("slug").agg(F.max_by("page_hash", F.struct("loaded_at", "page_hash")).alias("page_hash"))
+    return ok.groupBy("slug").agg(F.max_by("page_hash", F.struct(*order, "page_hash")).alias("page_hash"))
 
 
 def write_json(df: DataFrame, folder: str, key: str) -> int:
     """One pretty JSON document per row at ``folder/key.json``, an old one replaced; the number written.
 
     Rows are written by the tasks through the file system of the folder's URI; keys must be unique. Meant for
-    hand-over to other programs; state between jobs belongs into Parquet.
+    hand-over to other programs; state between jobs belongs into Parquet. On a cluster the folder must be one
+    that all executors share.
     """
-    import json
-
     cols = [c for c in df.columns if c != key]
     body = F.to_json(F.struct(F.col(key), *cols), {"ignoreNullFields": "false"})
     rows = df.select(F.col(key).alias("k"), body.alias("j"))
-    target = folder.removeprefix("file://").rstrip("/")
-
-    def put(batches):
-        import os
-
-        import pandas as pd
+    target = folder.rstrip("/") if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
 
-        os.makedirs(target, exist_ok=True)
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = FileSystem.from_uri(target)
+        fs.create_dir(root, recursive=True)
         for pdf in batches:
             for k, j in zip(pdf["k"], pdf["j"]):
-                path = os.path.join(target, f"{k}.json")
-                with open(f"{path}.part", "w", encoding="utf-8") as f:
-                    json.dump(json.loads(j), f, ensure_ascii=False, indent=2)
-                os.replace(f"{path}.part", path)
+                # written aside and moved, so that a task that fails leaves no half document
+                part = f"{root}/.{k}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(json.dumps(json.loads(j), ensure_ascii=False, indent=2).encode("utf-8"))
+                fs.move(part, f"{root}/{k}.json")
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    if "://" in target:
-        raise ValueError("write_json writes to a mounted folder; use Parquet for object stores")
     return int(rows.mapInPandas(put, "n long").agg(F.sum("n")).first()[0] or 0)
 
 

@@ -101,6 +101,30 @@ def test_ingest_twice_does_nothing_the_second_time(spark, tmp_path):
     assert store.read().count() == 5 and store.read().where("size(values) = 16").count() == 5
 
 
+def test_the_last_record_of_a_key_is_ingested(spark, tmp_path):
+    rows = [("a#x", "old", "h9", 1), ("a#x", "new", "h1", 2), ("b#x", "one", "h2", 1)]
+    chunks = spark.createDataFrame(rows, "vector_id string, text string, content_hash string, ingested_at int")
+    store = state.Snapshots(spark, f"file://{tmp_path}/index", "vector_id string, text string, content_hash string, ingested_at int, values array<float>", 4)
+    emb = lambda c: external.embed(c, lambda: external.HashEmbedder(8))
+    jobs.ingest_job(chunks, store, emb, dimension=8)
+    assert {r["vector_id"]: r["text"] for r in store.read().collect()} == {"a#x": "new", "b#x": "one"}
+    with pytest.raises(Exception, match="9 entries"):
+        jobs.ingest_job(chunks.withColumn("content_hash", F.lit("z")), store, emb, dimension=9)
+    assert {r["content_hash"] for r in store.read().collect()} == {"h1", "h2"}
+
+
+def test_a_merge_leaves_other_buckets_alone(spark, tmp_path):
+    store = state.Snapshots(spark, f"file://{tmp_path}/index", "k string, v int", 8)
+    store.merge(spark.createDataFrame([(f"k{i}", i) for i in range(100)], "k string, v int"), "k")
+    before = store._current()
+    store.merge(spark.createDataFrame([("k5", -5)], "k string, v int"), "k")
+    after = store._current()
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert {r["k"]: r["v"] for r in store.read().collect()} == {f"k{i}": i if i != 5 else -5 for i in range(100)}
+    store.merge(store.read().limit(0), "k")
+    assert store.vacuum() == 1 and store.vacuum() == 0 and store.read().count() == 100
+
+
 def test_dimension_is_checked(spark):
     df = spark.createDataFrame([([1.0, 2.0],), (None,)], "v array<float>")
     assert state.check_dimension(df, "v", 2).count() == 2

@@ -1,16 +1,21 @@
 """Search, context, answers, crawl, parser, streams and the catalog."""
 
 import json
+import threading
+import urllib.error
+import urllib.request
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.config import NO_ANSWER
+from quarrymill.config import EXTRACT_RULES, NO_ANSWER, Settings, require
 from quarrymill.functions import urls, vectors
 from quarrymill.operators import crawl, external, profile_html, retrieval
 from quarrymill.operators.state import Snapshots
 from quarrymill.plans import catalog, jobs
+from quarrymill.plans.service import Service, handler_of
 from quarrymill.streaming import landing
 
 
@@ -91,6 +96,93 @@ def test_failure_order_and_charset(spark):
     assert [r[0] for r in b.select(crawl.decoded(F.col("b"), F.col("c"), F.col("d"))).collect()] == ["é", "é", "é", None]
 
 
+def test_no_page_is_fetched_twice_or_in_vain(spark, tmp_path):
+    links = "".join(f'<a href="/project{i}">p</a>' for i in range(30))
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def open_(url, agent, timeout):
+        (asked / f"{url.rsplit('/', 1)[-1]}-{uuid.uuid4().hex}").touch()
+        if url == "https://slow.edu":
+            raise TimeoutError
+        if url == "https://x.edu":
+            return 200, "text/html; charset=utf-8", links.encode()
+        n = int(url.rsplit("project", 1)[-1])
+        return (404, "text/html", b"") if n in (1, 2, 5) else (200, "text/html", f"<p>caf\u00e9 {n}</p>".encode("cp1252"))
+
+    sites = spark.createDataFrame([("x", "https://x.edu/"), ("slow", "https://slow.edu")], "site string, start_url string")
+    got = {(r["site"], r["hop"]): r for r in crawl.crawl(sites, external.http_fetch(open_, delay=0.0)).collect()}
+    assert [got["x", i]["url"][-1] for i in range(1, 5)] == ["0", "3", "4", "6"] and got["x", 1]["html"] == "<p>caf\u00e9 0</p>"
+    assert got["slow", 0]["reason"] == "timeout" and len(got) == 6
+    names = sorted(p.name.rsplit("-", 1)[0] for p in asked.iterdir())
+    assert names == sorted(["x.edu", "slow.edu", *(f"project{i}" for i in range(7))])
+
+
+def test_robots_files_are_read_once_a_host(spark):
+    sites = spark.createDataFrame([("https://a.edu/x",), ("https://a.edu/y",), ("http://b.edu/",), ("nothing",)], "url string")
+    got = external.robots_rules(sites, "url", lambda u, a, t: (200, "text/plain", f"# {u}".encode()), delay=0.0)
+    assert sorted(tuple(r) for r in got.collect()) == [("http", "b.edu", 200, "# http://b.edu/robots.txt"), ("https", "a.edu", 200, "# https://a.edu/robots.txt")]
+
+
+def test_extractor_keeps_objects_only(spark):
+    class Model:
+        def complete(self, prompt, system="", schema=None, temperature=0.0):
+            assert temperature == 0.0 and "website_summary" in schema["properties"] and prompt.startswith(EXTRACT_RULES)
+            return {"a": '{"website_summary": "S"}', "b": "[1]", "c": "no json"}[prompt[-1]]
+
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "t string")
+    assert [r[0] for r in df.select(external.extract(F.col("t"), Model)).collect()] == ['{"website_summary": "S"}', "{}", "{}", None]
+
+
+def test_service(spark):
+    idx = spark.createDataFrame([("a#x", [1.0, 0.0], "A", "T", "x", "u", "text")], "vector_id string, values array<float>, professor_name string, professor_title string, section_type string, url string, text string")
+    emb = lambda c: F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+    s = Service(idx, 1, emb)
+    assert s.health() == (200, {"status": "ok"}) and s.chat("x")[0] == 422 and s.chat(None)[0] == 422
+    status, body = s.chat("Who is A?")
+    assert status == 200 and body["answer"] == "[1] A (T) — x" and [c["url"] for c in body["citations"]] == ["u"]
+    assert Service(idx, 1, lambda c: F.raise_error(F.lit("down"))).chat("Who is A?")[0] == 502
+    web = handler_of(s, 0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{web.server_address[1]}"
+    assert json.load(urllib.request.urlopen(f"{at}/health")) == {"status": "ok"}
+    asked = urllib.request.Request(f"{at}/chat", json.dumps({"question": "Who is A?"}).encode())
+    assert json.load(urllib.request.urlopen(asked))["answer"] == "[1] A (T) — x"
+    with pytest.raises(urllib.error.HTTPError, match="422"):
+        urllib.request.urlopen(urllib.request.Request(f"{at}/chat", b"[]"))
+    web.shutdown()
+
+
+def test_settings_come_from_the_environment():
+    s = Settings.from_env({"QUARRYMILL_TOP_K": "3", "QUARRYMILL_QUESTION_LENGTH": "1,9", "QUARRYMILL_DELAY": "0.5", "OTHER": "x"})
+    assert (s.top_k, s.question_length, s.delay, s.dimension) == (3, (1, 9), 0.5, 1024)
+    assert require("A", env={"A": "1"}) == {"A": "1"}
+    with pytest.raises(RuntimeError, match="B, C"):
+        require("A", "B", "C", env={"A": "1", "C": ""})
+
+
+def test_command_line_of_all_jobs(spark, tmp_path, capsys):
+    site = "<p>" + "word " * 80 + "</p>"
+    listing = '<a href="/people/a/">A</a><a class="page-numbers" href="/people/page/2/">2</a>'
+    rows = [("https://d.edu/people/", listing), ("https://d.edu/people/page/2/", '<a href="https://d.edu/people/b/">B</a>'), ("https://d.edu/people/a/", PAGE.replace("none", "").replace("https://x", "https://s.edu")), ("https://s.edu", site)]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(str(tmp_path / "pages"))
+    args = ["--pages", str(tmp_path / "pages"), "--profiles", str(tmp_path / "profiles")]
+    jobs.main(["directory", *args, "--listing", "https://d.edu/people/", "--urls", str(tmp_path / "urls"), "--urls-only"])
+    assert capsys.readouterr().out.split() == ["2"]
+    jobs.main(["directory", *args, "--listing", "https://d.edu/people/", "--urls", str(tmp_path / "urls")])
+    assert "http_404" in (out := capsys.readouterr().out) and out.split()[-1] == "1"
+    for extra, n in (([], "1"), ([], "0"), (["--force"], "1")):
+        jobs.main(["sites", *args, "--sites", str(tmp_path / "sites"), *extra])
+        assert capsys.readouterr().out.split()[-1] == n
+    for _ in range(2):
+        jobs.main(["ingest", "--profiles", str(tmp_path / "profiles"), "--sites", str(tmp_path / "sites"), "--index", f"file://{tmp_path}/index"])
+    shown = [x.split("|")[1:-1] for x in capsys.readouterr().out.splitlines() if x.startswith("|") and "new" not in x]
+    new, again = ([int(n) for n in x] for x in shown)
+    assert new[0] > 1 and new[1:] == [0, 0] and again == [0, 0, new[0]]
+    state_ = Snapshots(spark, f"file://{tmp_path}/index", jobs.CHUNK).read()
+    assert {r["section_type"] for r in state_.collect()} >= {"biography", "website_summary"} and state_.where("size(values) <> 1024").count() == 0
+
+
 def test_site_texts_do_not_depend_on_order(spark):
     rows = [(1, "https://x/b", " B "), (1, "https://x/a", "A" * 30), (1, "https://x/c", "  "), (2, "u", None)]
     for r in (rows, rows[::-1]):
