@@ -18,8 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from quarrymill.runtime import stored
+from quarrymill.runtime import slots, stored
 
 # Letters that do not decompose.
 LETTERS = {"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"}
@@ -42,7 +43,13 @@ SINCE = re.compile(r"(?i)\((?:since|from|until|\d{4})[^)]*\)")
 
 EDIT, ABBREVIATION, MISSING, EXTRA, REORDER, KIND_MISSING, KIND_OTHER = 2.4, 0.8, 3.0, 3.5, 0.2, 0.6, 4.0
 REJECT = 6.2
+#: What the channel charges for a letter of a given name, a short form and an initial; for a letter of a surname and of a short one, which has near ones by chance.
+GIVEN_EDIT, NICKNAME, INITIAL, SURNAME_EDIT, SHORT_EDIT, LONG = 0.9, 0.5, 1.0, 0.6, 1.8, 6
+#: What a shared detail counts for, up to four of them, and a short form or initial as a form of its own.
+FACT, NO_FORM = 1.5, -2.5
 LABS_AT_ONCE = 20_000
+#: Before how many names a word must stand behind a comma to be a place; at most this many places are sent to the tasks.
+PLACE, PLACES = 20, 10_000
 
 
 def fold(text: str) -> str:
@@ -137,7 +144,7 @@ def group_cost(seen: tuple, lab: tuple, places: frozenset = frozenset()) -> floa
     return cost
 
 
-def attribute_groups(spellings: DataFrame, labs: DataFrame, name: str, lab_id: str, lab_name: str, acronym: str, places: list[str] | None = None) -> DataFrame:
+def attribute_groups(spellings: DataFrame, labs: DataFrame, name: str, lab_id: str, lab_name: str, acronym: str) -> DataFrame:
     """(spelling, lab_id, cost): each distinct spelling with the reference name of the largest posterior, if any is likely enough.
 
     The prior is how often the reference name is written in full. Reference names go to the tasks in parts
@@ -148,7 +155,7 @@ def attribute_groups(spellings: DataFrame, labs: DataFrame, name: str, lab_id: s
     ref = labs.select(F.col(lab_id).alias("lab"), F.col(lab_name).alias("full"), F.col(acronym).alias("acro")).where("lab is not null and full is not null")
     ref = ref.join(counted.select(F.col("spelling").alias("full"), "count"), "full", "left").select("lab", "full", "acro", F.coalesce("count", F.lit(0)).alias("n"))
     parts = max(1, -(-ref.count() // LABS_AT_ONCE))
-    spots = frozenset(fold(p) for p in places or [])
+    spots = _places(counted, ref)
     out = None
     for p in range(parts):
         rows = [(r["lab"], group_parts(r["full"]), r["acro"], float(np.log(r["n"] + 1.0))) for r in ref.where(F.pmod(F.xxhash64("lab"), F.lit(parts)) == p).collect()]
@@ -190,13 +197,24 @@ def attribute_groups(spellings: DataFrame, labs: DataFrame, name: str, lab_id: s
                         got.append((s, best[1], best[2], best[0]))
                 yield pd.DataFrame(got, columns=["spelling", "lab", "cost", "posterior"])
 
-        part = counted.select("spelling").mapInPandas(run, "spelling string, lab long, cost double, posterior double")
+        part = counted.select("spelling").repartition(slots(spellings.sparkSession)).mapInPandas(run, "spelling string, lab long, cost double, posterior double")
         out = part if out is None else out.unionByName(part)
     if parts > 1:
         out = out.groupBy("spelling").agg(F.max_by("lab", "posterior").alias("lab"), F.max_by("cost", "posterior").alias("cost"))
     return out.select("spelling", F.col("lab").alias(lab_id), "cost")
 
 
+def _places(counted: DataFrame, ref: DataFrame) -> frozenset:
+    """Words people put behind the comma of many names without there being a reference name that has them: where a group is, not what it is called."""
+    tail = F.lower(F.regexp_extract("spelling", r",\s*([^,()]+?)\s*$", 1))
+    head = F.regexp_extract("spelling", r"^([^,]+),", 1)
+    seen = counted.select(tail.alias("tail"), head.alias("head")).where("tail <> ''").groupBy("tail").agg(F.approx_count_distinct("head").alias("n"))
+    named = ref.select(F.explode(F.split(F.lower("full"), r"(?U)\W+")).alias("w")).distinct()
+    words = seen.where(F.col("n") >= PLACE).select("tail", F.explode(F.split("tail", r"(?U)\W+")).alias("w")).join(named.hint("merge"), "w", "left_anti")
+    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(PLACES).collect()  # bounded
+    return frozenset(fold(r["w"]) for r in top if r["w"])
+
+
 # ---- persons -----------------------------------------------------------------------------------------------
 
 
@@ -304,25 +322,19 @@ def same_persons(df: DataFrame, key: str, name: str, contact: str, websites: str
     counts = split_.select(F.explode(F.array("surname", "near")).alias("s")).where("length(s) > 1").groupBy("s").count()
     counts = stored(counts.withColumnRenamed("count", "n"), "surnames")
 
-    @F.pandas_udf("array<string>")
-    def shortened(s: pd.Series) -> pd.Series:
-        return pd.Series([sorted({x[:i] + x[i + 1 :] for i in range(len(x))} | {x} | {y[:i] + y[i + 1 :] for y in {x[:i] + x[i + 1 :] for i in range(len(x))} for i in range(len(y))}) if len(x) >= 6 else [x] for x in s])
-
-    @F.pandas_udf("int")
-    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32")
-
     # two words within two edits share a form with at most two letters left out; the ratio of their counts decides, at any size
-    less = counts.select(F.col("s").alias("v"), F.col("n").alias("nv"), F.explode(shortened("s")).alias("k"))
-    form = counts.where("n >= 2").select(F.col("s").alias("c"), F.col("n").alias("nc"), F.explode(shortened("s")).alias("k"))
+    less = counts.select(F.col("s").alias("v"), F.col("n").alias("nv"), F.explode(_shortened("s")).alias("k"))
+    form = counts.where("n >= 2").select(F.col("s").alias("c"), F.col("n").alias("nc"), F.explode(_shortened("s")).alias("k"))
+    short = F.least(F.length("v"), F.length("c")) < LONG
     better = (
         less.join(form.hint("merge"), "k")
         .where("c <> v and nc > nv")
         .select("v", "nv", "c", "nc")
         .distinct()
-        .withColumn("d", apart("v", "c"))
-        .where("d <= 2")
-        .withColumn("gain", F.log(F.col("nc") / F.col("nv")) - 0.6 * F.col("d"))
+        .withColumn("d", _apart("v", "c"))
+        .where(F.col("d") <= F.when(short, 1).otherwise(2))
+        # short names have near ones by chance
+        .withColumn("gain", F.log(F.col("nc") / F.col("nv")) - F.when(short, SHORT_EDIT).otherwise(SURNAME_EDIT) * F.col("d"))
         .where("gain > 0")
         .groupBy("v")
         .agg(F.max_by("c", F.struct("gain", "c")).alias("c"))
@@ -330,73 +342,101 @@ def same_persons(df: DataFrame, key: str, name: str, contact: str, websites: str
     better = stored(better, "surname_forms")
     own = F.when(F.length("near") > 1, F.col("near")).otherwise(F.col("surname"))
     named = split_.withColumn("v", own).join(better.hint("merge"), "v", "left").withColumn("family", F.coalesce("c", "v")).select("key", "details", "family", "given")
-    # given names of one family that begin or end alike, or by a nickname's long form, meet in a block of their own
-    nick = {k: v.split() for k, v in NICKNAMES.items()}
-
-    @F.pandas_udf("array<string>")
-    def blocks(given: pd.Series) -> pd.Series:
-        return pd.Series([sorted({"^" + x[:1] for x in [g, *nick.get(g, [])]} | {x[-1:] + "$" for x in [g, *nick.get(g, [])] if len(x) > 1}) if g else ["^"] for g in given])
-
-    spelled = named.groupBy("family", "given").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("details"))).alias("known"))
-    spelled = stored(spelled.join(stats.select(F.col("t").alias("given"), F.col("a").alias("common")).hint("merge"), "given", "left").select("family", "given", "n", "known", F.coalesce("common", F.lit(0)).alias("common")), "spelled")
-
-    def attach(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each spelling of a given name in a block of a family the likeliest canonical one."""
-        names, count = pdf["given"].tolist(), dict(zip(pdf["given"], pdf["n"]))
-        usual = {g: 0.5 * np.log(1.0 + a) for g, a in zip(pdf["given"], pdf["common"])}
-        facts = {g: set(k) if k is not None else set() for g, k in zip(pdf["given"], pdf["known"])}
-        to: dict[str, tuple[float, str]] = {}
-        for g in names:
-            best = (np.log(count[g]) + usual[g] + (0.0 if len(g) > 1 and g not in nick else -2.5), "", g)
-            for c in names:
-                if c == g or len(c) < 2 or c in nick and g not in nick:
-                    continue
-                if len(g) == 1:
-                    cost = 1.0 if c.startswith(g) else 9.0
-                elif not g:
-                    cost = 4.0
-                elif c in nick.get(g, ()):
-                    cost = 0.5
-                else:
-                    most = 2 if min(len(g), len(c)) >= 4 else 1
-                    d = distance(g, c, most)
-                    if d > most and g in nick:
-                        d = 9
-                    elif d > most:
-                        # a misprinted short form
-                        d = 1 + min((distance(g, k, 1) for k, v in nick.items() if c in v and len(k) > 2), default=9)
-                    cost = 0.9 * d if d <= most else 9.0
-                if cost >= 9 or (len(g) > 1 and usual[c] + np.log(count[c]) < usual[g] + np.log(count[g]) and g not in nick):
-                    continue
-                common = len(facts[g] & facts[c])
-                v = (np.log(count[c]) + usual[c] - cost + min(common, 4) * 1.5 - (0.0 if common or not facts[g] or not facts[c] else 1.5), c, c)
-                if v[0] > best[0] or (v[0] == best[0] and c < best[2]):
-                    best = v
-            to[g] = (float(best[0]), best[2])
-        return pd.DataFrame({"family": pdf["family"], "given": names, "score": [to[g][0] for g in names], "person": [to[g][1] for g in names]})
-
-    found = spelled.withColumn("block", F.explode(blocks("given"))).groupBy("family", "block").applyInPandas(attach, "family string, given string, score double, person string")
-    canon = found.groupBy("family", "given").agg(F.max_by("person", F.struct("score", "person")).alias("person"))
+    named = stored(named, "named")
+    return _persons(named, stats)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _shortened(words: pd.Series) -> pd.Series:
+    """A word and its forms with one letter left out, for long words also those with two."""
+
+    def forms(x: str) -> list[str]:
+        one = {x[:i] + x[i + 1 :] for i in range(len(x))} if len(x) > 2 else set()
+        two = {y[:i] + y[i + 1 :] for y in one for i in range(len(y))} if len(x) >= 4 else set()
+        return sorted({x} | one | two)
+
+    return pd.Series([forms(x) for x in words])
+
+
+@F.pandas_udf(IntegerType())
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32")
+
+
+def _given_costs(spelled: DataFrame) -> DataFrame:
+    """(g, c, cost): what the channel charges for writing the given name ``c`` as ``g``, for all spellings of more than a letter.
+
+    It depends on the two words alone, so it is looked up once however many families have them.
+    """
+    spark = spelled.sparkSession
+    words = spelled.select("given").where("length(given) > 1").distinct()
+    forms = stored(words.select("given", F.explode(_shortened("given")).alias("k")), "given_forms")
+    nick = spark.createDataFrame([(k, c) for k, v in NICKNAMES.items() for c in v.split()], "nick string, c string")  # a list of this module
+    pairs = forms.select(F.col("given").alias("g"), "k").join(forms.select(F.col("given").alias("c"), "k").hint("merge"), "k").where("g <> c").select("g", "c").distinct()
+    most = F.when(F.least(F.length("g"), F.length("c")) >= 4, 2).otherwise(1)
+    ends = (F.left("g", F.lit(1)) == F.left("c", F.lit(1))) | (F.right("g", F.lit(1)) == F.right("c", F.lit(1)))
+    # a misprint hardly ever spoils both ends of a word
+    typo = pairs.withColumn("d", _apart("g", "c")).where((F.col("d") <= most) & ((F.col("d") < 2) | ends)).select("g", "c", (F.col("d") * GIVEN_EDIT).alias("cost"))
+    short = nick.select(F.col("nick").alias("g"), "c", F.lit(NICKNAME).alias("cost"))
+    # a misprinted short form
+    keys = nick.where("length(nick) > 2").withColumn("k", F.explode(_shortened("nick")))
+    missed = forms.select(F.col("given").alias("g"), "k").join(keys.hint("merge"), "k").where("g <> nick").select("g", "nick", "c").distinct()
+    missed = missed.where((_apart("g", "nick") == 1) & (F.least(F.length("g"), F.length("c")) >= 4)).select("g", "c", F.lit(2 * GIVEN_EDIT).alias("cost"))
+    missed = missed.join(nick.select(F.col("nick").alias("g")).distinct().hint("merge"), "g", "left_anti")
+    costs = short.unionByName(typo).unionByName(missed).groupBy("g", "c").agg(F.min("cost").alias("cost"))
+    # a short form is no canonical form of a name that is none
+    known = nick.select("nick").distinct()
+    costs = costs.join(known.select(F.col("nick").alias("g"), F.lit(True).alias("g_nick")).hint("merge"), "g", "left").join(known.select(F.col("nick").alias("c"), F.lit(True).alias("c_nick")).hint("merge"), "c", "left")
+    return stored(costs.where("c_nick is null or g_nick is not null").select("g", "c", "cost", F.col("g_nick").isNotNull().alias("g_nick")), "given_costs")
+
+
+def _persons(named: DataFrame, stats: DataFrame) -> DataFrame:
+    """(key, person) of rows with family and given name: every spelling goes to the given name of its family that is likeliest.
+
+    Candidates meet by equal keys only (a near word, a nickname, an initial), never as all pairs of a family,
+    and what two spellings have in common is counted by joining their details, never gathered.
+    """
+    common = stats.select(F.col("t").alias("given"), F.col("a").alias("common"))
+    spelled = named.groupBy("family", "given").agg(F.count("*").alias("n")).join(common.hint("merge"), "given", "left")
+    spelled = stored(spelled.select("family", "given", "n", (F.log("n") + 0.5 * F.log1p(F.coalesce("common", F.lit(0)))).alias("strength")), "spelled")
+    facts = stored(named.select("family", "given", F.explode("details").alias("fact")).distinct(), "facts")
+    costs = _given_costs(spelled)
+    nick = costs.where("g_nick").select(F.col("g").alias("given")).distinct()
+    own = spelled.join(nick.withColumn("_nick", F.lit(True)).hint("merge"), "given", "left")
+    own = own.select("family", F.col("given").alias("g"), F.col("given").alias("c"), (F.col("strength") + F.when((F.length("given") > 1) & F.col("_nick").isNull(), 0.0).otherwise(NO_FORM)).alias("score"))
+
+    left = spelled.select("family", F.col("given").alias("g"), F.col("strength").alias("sg"))
+    right = spelled.where("length(given) > 1").select("family", F.col("given").alias("c"), F.col("strength").alias("sc"))
+    near = left.join(costs.hint("merge"), "g").join(right.hint("merge"), ["family", "c"]).where("g_nick or sc >= sg").select("family", "g", "c", "cost", "sc")
+    initial = left.where("length(g) = 1").join(right.withColumn("g", F.substring("c", 1, 1)).hint("merge"), ["family", "g"]).select("family", "g", "c", F.lit(INITIAL).alias("cost"), "sc")
+    pairs = stored(near.unionByName(initial), "candidates")
+    shared = pairs.select("family", "g", "c").join(facts.withColumnRenamed("given", "g").hint("merge"), ["family", "g"]).join(facts.withColumnRenamed("given", "c").hint("merge"), ["family", "c", "fact"]).groupBy("family", "g", "c").agg(F.count("*").alias("common"))
+    told = facts.select("family", "given").distinct()
+    scored = (
+        pairs.join(shared.hint("merge"), ["family", "g", "c"], "left")
+        .join(told.select("family", F.col("given").alias("g"), F.lit(True).alias("_g")).hint("merge"), ["family", "g"], "left")
+        .join(told.select("family", F.col("given").alias("c"), F.lit(True).alias("_c")).hint("merge"), ["family", "c"], "left")
+    )
+    evidence = F.when(F.col("common") > 0, FACT * F.least("common", F.lit(4))).when(F.col("_g") & F.col("_c"), -FACT).otherwise(0.0)
+    found = own.unionByName(scored.select("family", "g", "c", (F.col("sc") - F.col("cost") + evidence).alias("score")))
+    canon = found.groupBy("family", "g").agg(F.max_by("c", F.struct("score", "c")).alias("person")).select("family", F.col("g").alias("given"), "person")
     for _ in range(2):  # a form may itself be attached to another
         canon = stored(canon, "given_forms")
         on = canon.select("family", F.col("given").alias("person"), F.col("person").alias("next"))
         canon = canon.join(on.hint("merge"), ["family", "person"], "left").select("family", "given", F.coalesce("next", "person").alias("person"))
-    single = named.where("length(given) = 1")
     whole = stored(canon, "given_forms")
-    # initials are ambiguous by themselves: each row is attached by its own evidence
-    people = spelled.join(whole.hint("merge"), ["family", "given"]).groupBy("family", "person").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.when(F.length("given") > 1, F.col("known"))))).alias("known")).where("length(person) > 1")
-    by_row = (
-        single.join(people.hint("merge"), "family")
-        .where(F.col("person").startswith(F.col("given")))
-        .withColumn("score", F.size(F.array_intersect("details", F.coalesce("known", F.array().cast("array<string>")))) * 3.0 + F.log("n"))
-        .groupBy("key")
-        .agg(F.max_by("person", F.struct("score", "person")).alias("pick"))
-    )
-    return (
-        named.join(whole.hint("merge"), ["family", "given"])
-        .join(by_row.hint("merge"), "key", "left")
-        .select("key", F.concat("family", F.lit("|"), F.coalesce("pick", "person")).alias("person"))
-    )
+
+    # initials are ambiguous by themselves: each row goes to the person it shares most with, else to the most frequent one
+    of = whole.where("length(person) > 1").withColumn("given_", F.substring("person", 1, 1))
+    people = spelled.join(of.hint("merge"), ["family", "given"]).groupBy("family", F.col("given_").alias("given"), "person").agg(F.sum("n").alias("n"))
+    people = stored(people, "people")
+    single = named.where("length(given) = 1").select("key", "family", "given", "details")
+    told_by = facts.where("length(given) > 1").join(of.hint("merge"), ["family", "given"]).select("family", F.col("given_").alias("given"), "person", "fact").distinct()
+    alike = single.select("key", "family", "given", F.explode(F.array_distinct("details")).alias("fact")).join(told_by.hint("merge"), ["family", "given", "fact"]).groupBy("key", "family", "given", "person").agg(F.count("*").alias("common"))
+    by_fact = alike.join(people.hint("merge"), ["family", "given", "person"]).groupBy("key").agg(F.max_by("person", F.struct(F.col("common") * 3.0 + F.log("n"), "person")).alias("pick"), F.max(F.col("common") * 3.0 + F.log("n")).alias("score"))
+    usual = people.groupBy("family", "given").agg(F.max_by("person", F.struct("n", "person")).alias("usual"), F.log(F.max("n")).alias("usual_score"))
+    by_row = single.select("key", "family", "given").join(usual.hint("merge"), ["family", "given"]).join(by_fact.hint("merge"), "key", "left").select("key", F.when(F.col("score") >= F.col("usual_score"), F.col("pick")).otherwise(F.col("usual")).alias("pick"))
+    return named.join(whole.hint("merge"), ["family", "given"]).join(by_row.hint("merge"), "key", "left").select("key", F.concat("family", F.lit("|"), F.coalesce("pick", "person")).alias("person"))
 
 
 def pairs_of(members: DataFrame, key: str, group: str) -> DataFrame:

@@ -12,16 +12,22 @@ from quarrymill.llm import encodings, names, packing, page_text, reading_level,
 from quarrymill.runtime import table
 
 
-CAMPUSES = ["Havenmoor", "Vellamo", "Saltmarsh", "Old Mill", "Port Ellery", "Online"]
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_persons(table(spark, d, "profiles"), "profile_id", "name", "contact", "websites", ["areas_of_interest", "education", "campuses"])
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of profiles with a name, the person it belongs to and how many other rows that person has."""
+    people = _people(spark, d).select(F.col("key").alias("profile_id"), "person")
+    return people.join(people.groupBy("person").agg((F.count("*") - 1).alias("n_links")).hint("merge"), "person").select("profile_id", "person", "n_links")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows of one person, and the labs a row names under any spelling."""
     profiles = table(spark, d, "profiles")
-    persons = names.same_persons(profiles, "profile_id", "name", "contact", "websites", ["areas_of_interest", "education", "campuses"])
-    person = names.pairs_of(persons, "key", "person").select(F.lit("person").alias("kind"), F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+    person = names.pairs_of(_people(spark, d), "key", "person").select(F.lit("person").alias("kind"), F.col("a").alias("left_id"), F.col("b").alias("right_id"))
     named = profiles.select("profile_id", F.explode("labs_and_groups").alias("spelling"))
-    labs = names.attribute_groups(named, table(spark, d, "labs"), "spelling", "lab_id", "lab_name", "acronym", CAMPUSES)
+    labs = names.attribute_groups(named, table(spark, d, "labs"), "spelling", "lab_id", "lab_name", "acronym")
     lab = named.join(labs.hint("merge"), "spelling").select(F.lit("lab").alias("kind"), F.col("profile_id").alias("left_id"), F.col("lab_id").alias("right_id")).distinct()
     return person.unionByName(lab)
 
