@@ -100,6 +100,18 @@ def group_parts(name: str) -> tuple[tuple[str, ...], tuple[bool, ...], frozenset
     return tuple(words), tuple(cut), frozenset(kinds), tuple(acronyms)
 
 
+@lru_cache(maxsize=200_000)
+def _near(a: str, b: str, most: int) -> int:
+    """``distance`` of words that come up again and again."""
+    return distance(a, b, most)
+
+
+@lru_cache(maxsize=50_000)
+def _like_a_kind(word: str) -> bool:
+    """Whether a word is a misprinted one for a kind of group, or a filler."""
+    return len(word) > 4 and any(distance(word, k, 2) <= 2 for k in (*KINDS, "research") if len(k) > 4)
+
+
 def group_cost(seen: tuple, lab: tuple, places: frozenset = frozenset()) -> float:
     """What the channel charges for writing ``lab`` as ``seen``; both from group_parts."""
     words, cut, kinds, _ = seen
@@ -115,7 +127,7 @@ def group_cost(seen: tuple, lab: tuple, places: frozenset = frozenset()) -> floa
                 v = ABBREVIATION if c else 2 * ABBREVIATION
             else:
                 most = 2 if min(len(o), len(w)) >= 5 else 1
-                d = distance(o, w, most) if min(len(o), len(w)) >= 3 else 9
+                d = _near(o, w, most) if min(len(o), len(w)) >= 3 else 9
                 v = EDIT * d if d <= most else 99.0
             if v < best:
                 best, pick = v, k
@@ -130,7 +142,7 @@ def group_cost(seen: tuple, lab: tuple, places: frozenset = frozenset()) -> floa
         return 99.0
     for o, _ in left:
         # a misprinted word for a kind or a filler is no word of its own; nor is a place that follows a comma
-        if o in places or any(distance(o, k, 2) <= 2 for k in (*KINDS, "research") if len(k) > 4 and len(o) > 4):
+        if o in places or _like_a_kind(o):
             cost += 0.3
         else:
             cost += EXTRA
@@ -144,18 +156,19 @@ def group_cost(seen: tuple, lab: tuple, places: frozenset = frozenset()) -> floa
     return cost
 
 
-def attribute_groups(spellings: DataFrame, labs: DataFrame, name: str, lab_id: str, lab_name: str, acronym: str) -> DataFrame:
+def attribute_groups(spellings: DataFrame, labs: DataFrame, name: str, lab_id: str, lab_name: str, acronym: str, places: list[str] | None = None) -> DataFrame:
     """(spelling, lab_id, cost): each distinct spelling with the reference name of the largest posterior, if any is likely enough.
 
     The prior is how often the reference name is written in full. Reference names go to the tasks in parts
-    of at most LABS_AT_ONCE rows, and the best of all parts wins. Null and blank spellings have no row.
+    of at most LABS_AT_ONCE rows, and the best of all parts wins. Words that only tell where a group is, learned
+    from the spellings or given as ``places``, cost little. Null and blank spellings have no row.
     """
     counted = spellings.select(F.col(name).alias("spelling")).where(F.length(F.trim("spelling")) > 0).groupBy("spelling").count()
     counted = stored(counted, "spellings")
     ref = labs.select(F.col(lab_id).alias("lab"), F.col(lab_name).alias("full"), F.col(acronym).alias("acro")).where("lab is not null and full is not null")
     ref = ref.join(counted.select(F.col("spelling").alias("full"), "count"), "full", "left").select("lab", "full", "acro", F.coalesce("count", F.lit(0)).alias("n"))
     parts = max(1, -(-ref.count() // LABS_AT_ONCE))
-    spots = _places(counted, ref)
+    spots = _places(counted, ref) | {fold(p) for p in places or ()}
     out = None
     for p in range(parts):
         rows = [(r["lab"], group_parts(r["full"]), r["acro"], float(np.log(r["n"] + 1.0))) for r in ref.where(F.pmod(F.xxhash64("lab"), F.lit(parts)) == p).collect()]
