@@ -26,8 +26,9 @@ from quarrymill.runtime import slots, stored
 SAMPLE = 40_000
 CELLS_ROOT = 0.25
 EFFORT = 7.0
-MOST_CENTROIDS = 512
-SLAB = 16_384
+MOST_CENTROIDS = 2_048
+#: Entries that lie together: a query sends its vector once to each slab it visits, whatever the number of cells there. Changes no result.
+SLAB = 65_536
 BLOCK = 16_384
 
 
@@ -85,9 +86,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def entries(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFrame]:
+def entries(df: DataFrame, key: str, vec: str, most: int) -> tuple[DataFrame, DataFrame]:
     """(members: key, entry, idx, copies; vectors: entry, vec bytes, copies), equal vectors under one entry.
 
+    ``idx`` numbers the first ``most`` copies by key; all others have most + 1.
+
     Null, all-zero and not finite vectors, and vectors with a null number, take no part.
     """
     good = (F.size(vec) > 0) & F.exists(vec, lambda v: v != 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -100,16 +103,13 @@ def entries(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(v + np.float32(0)).tobytes() for v in rows], pa.binary())], ["key", "vec"])
 
     flat = stored(src.mapInArrow(raw, f"key {src.schema['key'].dataType.simpleString()}, vec binary"), "vectors")
-    members = stored(
-        flat.select("key", F.xxhash64("vec").alias("h"), F.sha2("vec", 256).alias("sig"))
-        .withColumn("copies", F.count("*").over(W.partitionBy("h", "sig")))
-        .withColumn("idx", F.row_number().over(W.partitionBy("h", "sig").orderBy("key")))
-        .withColumn("rep", F.first("key").over(W.partitionBy("h", "sig").orderBy("key")))
-        .select("key", "rep", "idx", "copies"),
-        "members",
-    )
-    reps = stored(flat.join(members.where("idx = 1").select("key", "copies"), "key").select("key", F.monotonically_increasing_id().alias("entry"), "vec", "copies"), "entries")
-    named = members.join(reps.select(F.col("key").alias("rep"), "entry"), "rep").select("key", "entry", "idx", "copies")
+    signed = flat.select("key", F.xxhash64("vec").alias("h"), F.sha2("vec", 256).alias("sig"))
+    groups = stored(signed.groupBy("h", "sig").agg(F.count("*").alias("copies"), F.min("key").alias("rep")), "groups")
+    # only the first of many copies need a number: each task keeps no more of a group before the shuffle
+    first = signed.withColumn("idx", F.row_number().over(W.partitionBy("h", "sig").orderBy("key"))).where(F.col("idx") <= most).select("key", "idx")
+    reps = stored(flat.join(groups.select(F.col("rep").alias("key"), "copies"), "key").select("key", F.monotonically_increasing_id().alias("entry"), "vec", "copies"), "entries")
+    groups = groups.join(reps.select(F.col("key").alias("rep"), "entry"), "rep").select("h", "sig", "entry", "copies")
+    named = signed.join(groups, ["h", "sig"]).join(first, "key", "left").select("key", "entry", F.coalesce("idx", F.lit(most + 1)).alias("idx"), "copies")
     return named, reps.select("entry", "vec", "copies")
 
 
@@ -119,17 +119,27 @@ def _lists(col: pa.Array) -> Iterator[np.ndarray]:
     return (values[a:b] for a, b in zip(ends[:-1], ends[1:]))
 
 
-def slabs_of(counts: np.ndarray, k1: int, k2: int, most: int = SLAB) -> np.ndarray:
-    """Slab of each cell: neighbouring cells of one first-half centroid, together at most ``most`` entries unless one cell has more."""
-    out = np.empty(k1 * k2, np.int32)
-    slab, held = -1, 0
-    for i in range(k1):
-        slab, held = slab + 1, 0
-        for c in range(i * k2, (i + 1) * k2):
-            if held and held + counts[c] > most:
-                slab, held = slab + 1, 0
-            out[c] = slab
-            held += counts[c]
+def chain(c: np.ndarray) -> np.ndarray:
+    """An order of centroids in which each is followed by the nearest one left, so that near ones have near numbers."""
+    if not c.size:
+        return np.arange(len(c))
+    left, order = np.ones(len(c), bool), [int(np.argmin(c[:, 0]))]
+    while len(order) < len(c):
+        left[order[-1]] = False
+        d = ((c - c[order[-1]]) ** 2).sum(axis=1)
+        order.append(int(np.where(left, d, np.inf).argmin()))
+    return np.array(order, np.int64)
+
+
+def slabs_of(counts: np.ndarray, most: int = SLAB) -> np.ndarray:
+    """Slab of each cell: consecutive cells, together at most ``most`` entries unless one cell has more."""
+    out = np.empty(len(counts), np.int32)
+    slab = held = 0
+    for c, n in enumerate(counts.tolist()):
+        if held and held + n > most:
+            slab, held = slab + 1, 0
+        out[c] = slab
+        held += n
     return out
 
 
@@ -137,32 +147,37 @@ def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, effort: flo
     """(q, n, score, copies, rank): for each entry the k most similar others among those visited, with score >= least.
 
     A query visits cells until they hold effort * sqrt(number of entries); cells hold CELLS_ROOT * sqrt(number)
-    on average, so the number of visited cells is the same at every size.
+    on average, so the number of visited cells is the same at every size. Vectors of different lengths have no
+    cosine: those of each length are searched among themselves.
     """
     spark = vectors.sparkSession
+    sizes = [r["d"] for r in vectors.select((F.octet_length("vec") / 4).cast("int").alias("d")).distinct().collect()]  # lengths that occur
+    out = spark.createDataFrame([], "q long, n long, score double, copies long, rank int")
+    for d in sorted(sizes):
+        out = out.unionByName(_nearest_of(vectors.where(F.octet_length("vec") == 4 * d), d, k, least, effort))
+    return out
+
+
+def _nearest_of(vectors: DataFrame, dim: int, k: int, least: float, effort: float) -> DataFrame:
+    """The same for vectors of one length."""
+    spark = vectors.sparkSession
     sc = spark.sparkContext
     total = vectors.count()
-    if not total:
-        return spark.createDataFrame([], "q long, n long, score double, copies long, rank int")
     # the share of the entries whose hash falls into SAMPLE of ``total``
     part = vectors if total <= SAMPLE else vectors.where(F.pmod(F.xxhash64("entry"), F.lit(total)) < SAMPLE)
     sample = part.select("entry", "vec").toPandas().sort_values("entry")["vec"]
-    dim = max(len(v) for v in sample) // 4
-    x = _unit(np.frombuffer(b"".join(v for v in sample if len(v) == 4 * dim), "<f4").reshape(-1, dim)).astype(np.float32)
+    x = _unit(np.frombuffer(b"".join(sample), "<f4").reshape(-1, dim)).astype(np.float32)
     half = dim // 2
     enough = int(max(10 * k, effort * total**0.5))
     kk = int(np.clip(round((total / (CELLS_ROOT * total**0.5)) ** 0.5), 1, MOST_CENTROIDS))
     c1, c2 = kmeans(x[:, :half], kk), kmeans(x[:, half:], kk)
-    # along their main axis, so that neighbouring numbers are neighbouring centroids
-    c2 = c2[np.argsort((c2 - c2.mean(axis=0)) @ np.linalg.svd(c2 - c2.mean(axis=0), full_matrices=False)[2][0])]
+    c1, c2 = c1[chain(c1)], c2[chain(c2)]
     k2 = len(c2)
     books = sc.broadcast((c1, c2))  # at most MOST_CENTROIDS rows each
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b1, b2 = books.value
         for b in batches:
-            ok = np.array([len(v) == 4 * dim for v in b.column("vec").to_pylist()], bool)
-            b = b.filter(pa.array(ok))
             if not b.num_rows:
                 continue
             u = _unit(_matrix(b.column("vec"), dim)).astype(np.float32)
@@ -173,7 +188,9 @@ def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, effort: flo
     counts = np.zeros(len(c1) * k2, np.int64)
     for r in indexed.groupBy("cell").count().collect():  # one row a cell, at most MOST_CENTROIDS squared
         counts[r["cell"]] = r["count"]
-    tables = sc.broadcast((counts, slabs_of(counts, len(c1), k2)))
+    tasks = max(slots(spark), int(total * 5 // 100_000) + 1)
+    slab_of_cell = slabs_of(counts, int(np.clip(total // tasks, BLOCK // 8, SLAB)))
+    tables = sc.broadcast((counts, slab_of_cell))
     names = ["slab", "part", "side", "entry", "vec", "copies", "cells"]
     form = "slab int, part int, side byte, entry long, vec binary, copies long, cells binary"
 
@@ -258,7 +275,7 @@ def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, effort: flo
     near = (
         indexed.mapInArrow(held, form)
         .unionByName(indexed.mapInArrow(asked, form))
-        .repartition(max(slots(spark), int(total * 5 // 100_000) + 1), "slab", "part")
+        .repartitionById(tasks, F.pmod(F.col("slab") + F.col("part") * 7919, F.lit(tasks)))
         .sortWithinPartitions("slab", "part", "side")
         .mapInArrow(rerank, "q long, n long, score double, copies long")
     )
@@ -271,7 +288,7 @@ def similar_pairs(df: DataFrame, key: str, vec: str, k: int = 10, least: float =
 
     Copies of a vector are each other's most similar vectors; among equals the smaller keys come first.
     """
-    members, vectors = entries(df, key, vec)
+    members, vectors = entries(df, key, vec, k)
     members = stored(members, "named")
     near = stored(nearest_entries(vectors, k, least), "near")
     own = vectors.select(F.col("entry").alias("q"), F.col("copies").alias("own"))
