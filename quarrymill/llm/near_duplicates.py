@@ -6,9 +6,11 @@ counts partial overlaps of the pairs it sees, and the counts are summed per pair
 whose sum can no longer reach the threshold is dropped; for the rest the overlap of the whole sets is taken.
 
 Nothing is approximate: the prefix lengths, the length filter and the position bound are all implied by the
-threshold, for any global order. The order comes from a table of gram counts with a fixed number of slots
-(``ORDER_SLOTS``), which is what makes it small enough to hand to every task at any input size; slots hold
-sums over all rows, and a shared slot only makes the order less sharp, never the result wrong.
+threshold, for any global order. The order comes from a table of gram counts with a bounded number of slots,
+which is what makes it small enough to hand to every task at any input size; slots hold sums over all rows,
+and a shared slot only makes the order less sharp, never the result wrong. Fragments are cut so that each
+gets about as many places of prefixes, counted over all texts; a gram that is in the prefix of very many texts
+is a fragment of its own and is cut further, by pairs of blocks of texts, so no task sees all of them.
 
 Each text also carries a parity bitmap of its set. The bits in which two bitmaps differ bound the number of
 grams the sets do not share from below, so most pairs that only share stock phrases end in the fragment in
@@ -28,17 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.counts import batch_of, summed
 from quarrymill.llm.groups import components
 from quarrymill.llm.words import WordHash, gram_set, words_of
-from quarrymill.runtime import slots, stored
+from quarrymill.runtime import discard, slots, stored
 
-ORDER_SLOTS = 1 << 18
-FRAGMENT_GRAMS = 1_000_000
+#: Slots of the gram order, one for GRAMS_A_SLOT grams of the corpus within these bounds; they change no result.
+ORDER_SLOTS, MOST_SLOTS, GRAMS_A_SLOT = 1 << 18, 1 << 22, 64
+#: Places in prefixes that make a fragment; a slot with more than SPLIT of them is dealt out by pairs of blocks of texts.
+FRAGMENT, SPLIT = 250_000, 50_000
 GRAM_BYTES = 5
 BITMAP = 256
 #: Sets of more than LONG grams carry a wider bitmap as well.
 LONG, WIDE = 128, 1024
 PAIR_BLOCK = 4_000_000
+MOST_TASKS = 20_000
 
 
 def pack_grams(g: np.ndarray) -> bytes:
@@ -77,56 +83,82 @@ def gram_sets(df: DataFrame, key: str, text: str, size: int, least_words: int) -
     return rows.where(F.length("text") >= 2 * least_words - 1).mapInArrow(run, "key long, sig binary, n int, grams binary")
 
 
-def gram_order(sets: DataFrame) -> np.ndarray:
-    """Counts of all grams of all sets in ORDER_SLOTS slots: 2 MB whatever the input. Partial tables are summed in the cluster."""
+def gram_order(sets: DataFrame, n_slots: int) -> np.ndarray:
+    """Counts of all grams of all sets by slot, summed in the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ORDER_SLOTS, np.int64)
+        total = np.zeros(n_slots, np.int64)
         for b in batches:
             if b.num_rows:
-                every = unpack_grams(b"".join(b.column(0).to_pylist())) & np.uint64(ORDER_SLOTS - 1)
-                total += np.bincount(every.astype(np.int64), minlength=ORDER_SLOTS)
-        if total.any():
-            # a table is sent in 64 parts, so that summing is spread too; counts fit 4 bytes within one task
-            for p, part in enumerate(np.split(total.astype("<i4"), 64)):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
-
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in t.column("counts").to_pylist())
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-    parts = sets.select("grams").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(ORDER_SLOTS, np.int64)
-    step = ORDER_SLOTS // 64
-    for r in parts:
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], "<i8")
-    return out
+                every = unpack_grams(b"".join(b.column(0).to_pylist())) & np.uint64(n_slots - 1)
+                total += np.bincount(every.astype(np.int64), minlength=n_slots)
+        yield batch_of({"grams": total})
+
+    return summed(sets.select("grams").mapInArrow(run, "kind string, part int, at binary, n binary"), {"grams": n_slots})["grams"]
+
+
+def _prefix(g: np.ndarray, rank: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, place in ``g``) of the grams of a set in its prefix, rare first."""
+    slot = (g & np.uint64(len(rank) - 1)).astype(np.int64)
+    o = np.argsort((rank[slot].astype(np.int64) << 20) + ((g >> np.uint64(20)).astype(np.int64) & 0xFFFFF), kind="stable")
+    o = o[: len(g) - int(_ceil(t * len(g))) + 1]
+    return slot[o], o
+
+
+def prefix_places(reps: DataFrame, rank, n_slots: int, t: float) -> np.ndarray:
+    """How many prefixes hold a gram of each slot, over all sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_slots, np.int64)
+        for b in batches:
+            got = [_prefix(unpack_grams(raw), rank.value, t)[0] for raw in b.column(0).to_pylist()]
+            if got:
+                total += np.bincount(np.concatenate(got), minlength=n_slots)
+        yield batch_of({"places": total})
+
+    return summed(reps.select("grams").mapInArrow(run, "kind string, part int, at binary, n binary"), {"places": n_slots})["places"]
+
+
+def fragments_of(places: np.ndarray, most: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment of each slot, number of blocks of each fragment) for slots in their order."""
+    heavy = places > split
+    light = np.where(heavy, 0, places)
+    frag = ((np.cumsum(light) - light) // most).astype(np.int32)
+    frag = np.unique(frag, return_inverse=True)[1].astype(np.int32)
+    n = int(frag.max()) + 1
+    frag[heavy] = n + np.arange(heavy.sum())
+    return frag, np.r_[np.ones(n, np.int64), -(-places[heavy] // split)]
+
+
+def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
 
 
 def _ceil(x: np.ndarray | float) -> np.ndarray:
     return np.ceil(x - 1e-9)
 
 
-def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold: float) -> DataFrame:
+def similar_classes(reps: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """Pairs (a, b) of representatives whose sets reach ``threshold`` in Jaccard similarity, a < b.
 
     ``reps`` has key, n and grams, one row per distinct set.
     """
     spark = reps.sparkSession
     sc = spark.sparkContext
-    fragments = int(max(slots(spark), -(-total // FRAGMENT_GRAMS)))
-    # cut the global order where the weight of the slots reaches equal shares: hot slots get fragments of their own
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(ORDER_SLOTS, np.int64)
-    rank[order] = np.arange(ORDER_SLOTS)
-    # of a frequent slot, only few texts have it in their prefix: weigh by the square root
-    weight = np.cumsum(np.sqrt(counts[order].astype(np.float64)) + 1e-9)
-    frag_of_rank = np.minimum((weight / weight[-1] * fragments).astype(np.int32), fragments - 1)
-    shared = sc.broadcast((rank, frag_of_rank))  # fixed size: ORDER_SLOTS entries
     t = threshold
+    rank = np.empty(len(counts), np.int32)
+    order = np.argsort(counts, kind="stable")
+    rank[order] = np.arange(len(counts), dtype=np.int32)
+    ranks = sc.broadcast(rank)  # at most MOST_SLOTS entries
+    places = prefix_places(reps, ranks, len(counts), t)
+    frag_of_rank, blocks = fragments_of(places[order], int(np.clip(places.sum() // slots(spark), 1, FRAGMENT)), SPLIT)
+    frag_of_slot = np.empty(len(counts), np.int32)
+    frag_of_slot[order] = frag_of_rank
+    shared = sc.broadcast((frag_of_slot, blocks))
+    groups = int((blocks * (blocks + 1) // 2).sum())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rk, fr = shared.value
+        rk, (fr, cut) = ranks.value, shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 1 << 15):
                 b = whole.slice(lo, 1 << 15)
@@ -138,34 +170,38 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
                 for k, raw in enumerate(b.column("grams").to_pylist()):
                     g = unpack_grams(raw)
                     n = len(g)
-                    probe = n - int(_ceil(t * n)) + 1
                     index = n - int(_ceil(2 * t / (1 + t) * n)) + 1
                     odd = np.bincount((g >> np.uint64(20)).astype(np.int64) & (WIDE - 1), minlength=WIDE) & 1
                     bits[k] = np.packbits(odd.reshape(-1, BITMAP).sum(axis=0) & 1)
                     if n > LONG:
                         wide[k] = np.packbits(odd)
-                    r = rk[g & np.uint64(ORDER_SLOTS - 1)]
-                    o = np.argsort((r << 20) + ((g >> np.uint64(20)).astype(np.int64) & 0xFFFFF), kind="stable")[:probe]
+                    slot, o = _prefix(g, rk, t)
                     tok.append(((g[o] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype("<u4"))
                     own.append(np.full(len(o), k, "<u2"))
                     p = np.arange(len(o), dtype="<u4")
                     at.append(p * 2 + (p < index))
-                    frg.append(fr[r[o]])
+                    frg.append(fr[slot])
                 if not tok:
                     continue
                 tok, own, at, frg = map(np.concatenate, (tok, own, at, frg))
                 by = np.argsort(frg, kind="stable")
-                cuts = np.searchsorted(frg[by], np.arange(fragments + 1))
+                there_ = np.unique(frg)
+                cuts = np.searchsorted(frg[by], np.r_[there_, frg.max() + 1])
                 rows = []
-                for f in range(fragments):
-                    w = by[cuts[f] : cuts[f + 1]]
-                    if len(w):
+                for f, lo_, hi_ in zip(there_.tolist(), cuts, cuts[1:]):
+                    if cut[f] == 1:
+                        parts = [(by[lo_:hi_], [(0, 0)])]
+                    else:  # each block meets itself and every other once
+                        block = _block_of(keys[own[by[lo_:hi_]]], cut[f])
+                        parts = [(by[lo_:hi_][block == h], [(min(h, j), max(h, j)) for j in range(cut[f])]) for h in np.unique(block).tolist()]
+                    for w, to in parts:
                         # the texts of this fragment once, their grams by place in that list
                         there, place = np.unique(own[w], return_inverse=True)
                         width = 2 if at[w].max() < 1 << 16 else 4
-                        rows.append((f, tok[w].tobytes(), place.astype("<u2").tobytes(), at[w].astype(f"<u{width}").tobytes(), width, keys[there].tobytes(), ns[there].tobytes(), bits[there].tobytes(), wide[there[ns[there] > LONG]].tobytes()))
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["frag", "tok", "own", "at", "width", "key", "n", "bits", "wide"])
+                        row = (tok[w].tobytes(), place.astype("<u2").tobytes(), at[w].astype(f"<u{width}").tobytes(), width, keys[there].tobytes(), ns[there].tobytes(), bits[there].tobytes(), wide[there[ns[there] > LONG]].tobytes())
+                        rows += [(f, i, j, int(cut[f]), *row) for i, j in to]
+                kinds = [pa.int32()] * 4 + [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["frag", "i", "j", "blocks", "tok", "own", "at", "width", "key", "n", "bits", "wide"])
 
     def overlaps(key: tuple, table: pa.Table) -> pa.Table:
         def column(name: str, kind: str) -> list[np.ndarray]:
@@ -180,6 +216,8 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
         wide = np.concatenate(column("wide", "<u8")).reshape(-1, WIDE // 64)
         keys, sizes = np.concatenate(keys), np.concatenate(sizes).astype(np.int64)
         wide_at = np.cumsum(sizes > LONG) - 1
+        apart = key[1].as_py() != key[2].as_py()
+        block = _block_of(keys, table.column("blocks")[0].as_py()) if apart else None
         own, n = keys[doc], sizes[doc]
         # within a gram: by size, then key; a text then meets only those not smaller than itself
         o = np.lexsort((own, n, tok))
@@ -198,6 +236,8 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
             start = np.repeat(np.cumsum(reach[lead[lo:hi]]) - reach[lead[lo:hi]], reach[lead[lo:hi]])
             j = i + 1 + (np.arange(len(i)) - start)
             ok = n[i] >= t * n[j] - 1e-9
+            if apart:  # pairs within a block are counted elsewhere
+                ok &= block[doc[i]] != block[doc[j]]
             i, j = i[ok], j[ok]
             need = _ceil(t / (1 + t) * (n[i] + n[j]))
             pi, pj = (at[i] >> 1).astype(np.int64), (at[j] >> 1).astype(np.int64)
@@ -216,7 +256,9 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, total: int, threshold:
             return _pair_table(*(np.empty(0, np.int64) for _ in range(7)))
         return _pair_table(*(_sum_pairs(*(np.concatenate(c) for c in zip(*out))) if len(out) > 1 else out[0]))
 
-    pairs = reps.select("key", "n", "grams").mapInArrow(spread, "frag int, tok binary, own binary, at binary, width int, key binary, n binary, bits binary, wide binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(overlaps, "x long, y long, nx int, ny int, cnt int, px int, py int")
+    form = "frag int, i int, j int, blocks int, tok binary, own binary, at binary, width int, key binary, n binary, bits binary, wide binary"
+    sent = reps.select("key", "n", "grams").mapInArrow(spread, form).repartition(max(slots(spark), min(groups, MOST_TASKS)), "frag", "i", "j")
+    pairs = sent.groupBy("frag", "i", "j").applyInArrow(overlaps, "x long, y long, nx int, ny int, cnt int, px int, py int")
     possible = (
         pairs.groupBy("x", "y")
         .agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("cnt").alias("cnt"), F.max("px").alias("px"), F.max("py").alias("py"))
@@ -289,15 +331,17 @@ def near_duplicates(df: DataFrame, key: str, text: str, size: int = 5, threshold
     sets = stored(gram_sets(df, key, text, size, least_words), "grams")
     ranked = sets.groupBy("sig").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     member = stored(sets.select("key", "sig").join(ranked, "sig").select("key", "rep", "copies"), "classes")
-    reps = sets.join(member.where("key = rep").select("key"), "key", "left_semi")
-    counts = gram_order(sets)
-    return member, similar_classes(reps, counts, int(counts.sum()), threshold)
+    reps = stored(sets.join(member.where("key = rep").select("key"), "key", "left_semi"), "representatives")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    counts = gram_order(sets, int(np.clip(1 << int(total // GRAMS_A_SLOT).bit_length(), ORDER_SLOTS, MOST_SLOTS)))
+    discard(sets)
+    return member, similar_classes(reps, counts, threshold)
 
 
 def duplicate_pairs(member: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair a < b of similar texts, copies expanded; linear in the number of pairs asked for."""
     m = member.select("key", "rep")
-    # a hot class is paired by the smaller key of each copy, so its rows spread over the tasks
+    # a hot class is as many rows of one key on either side; adaptive execution splits such keys of a sort-merge join
     many = member.where("copies > 1").select("key", "rep")
     same = many.alias("l").join(many.alias("r"), (F.col("l.rep") == F.col("r.rep")) & (F.col("l.key") < F.col("r.key"))).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
     cross = (

@@ -53,6 +53,24 @@ def test_pairs_equal_brute_force(spark, size, t, least):
     assert {r["key"] for r in member.collect()} == {k for k, v in texts.items() if len(re.findall(r"[^\W_]+", (v or "").lower())) >= max(least, size)}
 
 
+def test_hot_grams_are_dealt_out_by_blocks(spark, monkeypatch):
+    texts = reworked(120, 5)
+    df = spark.createDataFrame(list(texts.items()), "id long, t string").repartition(4)
+    want = brute(texts, 3, 0.5, 20)
+    for split in (1, 7):
+        monkeypatch.setattr(near_duplicates, "SPLIT", split)
+        member, links = near_duplicates.near_duplicates(df, "id", "t", 3, 0.5, 20)
+        got = [tuple(r) for r in near_duplicates.duplicate_pairs(member, links).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fragments_are_even():
+    places = np.array([5, 5, 0, 900, 5, 5, 300, 5] * 4)
+    frag, blocks = near_duplicates.fragments_of(places, 10, 250)
+    assert [int(places[frag == f].sum()) for f in np.flatnonzero(blocks == 1)] == [10] * 10
+    assert sorted(blocks[blocks > 1]) == [2] * 4 + [4] * 4 and len(np.unique(frag)) == len(blocks)
+
+
 def test_groups_follow_the_links(spark):
     texts = reworked(90, 11)
     df = spark.createDataFrame(list(texts.items()), "id long, t string")
@@ -182,3 +200,23 @@ def test_frequent_misprints_of_a_hot_surname(spark):
 
 def test_distance():
     assert [names.distance(a, b) for a, b in (("roebrt", "robert"), ("a", "a"), ("abc", "abd"), ("abcd", "x"), ("", "ab"))] == [1, 0, 1, 3, 2]
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i:02}", rng.normal(size=4).tolist()) for i in range(50)] + [("w0", rng.normal(size=6).tolist()), ("x0", [2.0]), ("x1", [3.0]), ("x2", [-1.0])]
+    got = {tuple(r)[:2] for r in similar_vectors.similar_pairs(spark.createDataFrame(rows, "id string, v array<float>"), "id", "v", 10, 0.3).collect()}
+    m = np.array([v for _, v in rows[:50]], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cos = m @ m.T
+    np.fill_diagonal(cos, -2)
+    want = {tuple(sorted((rows[i][0], rows[j][0]))) for i in range(50) for j in np.argsort(-cos[i])[:10] if cos[i, j] >= 0.3}
+    assert got == want | {("x0", "x1")}
+
+
+def test_more_copies_than_neighbours(spark):
+    rows = [(f"c{i:02}", [1.0, 2.0]) for i in range(30)] + [("d", [1.0, 2.1])]
+    got = {tuple(r)[:2] for r in similar_vectors.similar_pairs(spark.createDataFrame(rows, "id string, v array<float>"), "id", "v", 3, 0.8).collect()}
+    # among equals the first count: the first three of all others, and for each of these three the first of the rest
+    first = {(f"c{i:02}", f"c{j:02}") for i in range(3) for j in range(i + 1, 30)}
+    assert got == first | {(f"c{i:02}", "d") for i in range(3)}
