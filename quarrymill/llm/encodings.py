@@ -37,6 +37,8 @@ STEPS = 2.0
 #: Encodings text was written in, and encodings it was read in by mistake.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "mac-roman", "cp437", "gb18030", "shift_jis", "euc-jp", "big5", "euc-kr")
 READ = ("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-2", "mac-roman", "cp437", "koi8-r", "iso8859-15", "cp850", "gb18030", "shift_jis", "big5", "cp866")
+#: Wrong readings by which the operator is tried out.
+SPOILT = (("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1251"), ("utf-8", "mac-roman"), ("utf-8", "cp437"), ("cp1252", "cp1251"))
 SINGLE = frozenset(("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "mac-roman", "cp437"))
 STRETCH = re.compile(r"[^\x00-\x7f]+(?: [^\x00-\x7f]+)*")
 #: What UTF-8 read wrongly usually held: Latin letters and signs, Cyrillic, typographic signs, Han and its punctuation.
@@ -411,3 +413,32 @@ def garbled(df: DataFrame, keys: list[str], text: str, margin: float = MARGIN, w
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(good, pa.string())] if with_text else []), [*names, "stretches", "lost", *(["restored"] if with_text else [])])
 
     return maybe.select(*names, "_text").mapInArrow(run, f"{kinds}, stretches int, lost int" + (", restored string" if with_text else ""))
+
+
+def round_trip(df: DataFrame, keys: list[str], text: str, margin: float = MARGIN) -> DataFrame:
+    """(keys, chain, found, restored): texts garbled on purpose, whether that is found and undone to the letter.
+
+    Each text beyond ASCII that is not garbled itself is read wrongly in one of the ways of SPOILT, which its
+    hash picks, and stands beside the texts as they are; those that cannot be read that way have no row.
+    """
+    t = F.col(text)
+    rows = df.select(F.struct(*keys).alias("id"), t.alias("text")).where(t.rlike(r"[^\x00-\x7F]"))
+    rows = rows.join(garbled(rows, ["id"], "text", margin).select("id"), "id", "left_anti")
+    pick = F.pmod(F.xxhash64("text"), F.lit(len(SPOILT))).cast("int")
+
+    @F.pandas_udf("string")
+    def spoil(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def one(text: str, k: int) -> str | None:
+            try:
+                return text.encode(SPOILT[k][0]).decode(SPOILT[k][1])
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                return None
+
+        for texts, ks in batches:
+            yield pd.Series([one(x, k) for x, k in zip(texts, ks)], dtype=object)
+
+    bad = stored(rows.withColumn("pick", pick).withColumn("bad", spoil("text", "pick")).where("bad is not null and bad <> text"), "spoilt")
+    both = rows.select("id", F.lit(False).alias("made"), "text").unionByName(bad.select("id", F.lit(True).alias("made"), F.col("bad").alias("text")))
+    got = garbled(both, ["id", "made"], "text", margin, with_text=True).where("made").select("id", F.col("restored").alias("back"), F.lit(True).alias("hit"))
+    chain = F.element_at(F.array(*(F.lit(f"{w}>{r}") for w, r in SPOILT)), F.col("pick") + 1)
+    return bad.join(got, "id", "left").select("id.*", chain.alias("chain"), F.coalesce("hit", F.lit(False)).alias("found"), F.coalesce(F.col("back") == F.col("text"), F.lit(False)).alias("restored"))

@@ -89,6 +89,11 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.garbled(_encoded(spark, d), ["kind", "row_id", "page_no"], "text", with_text=True)
 
 
+def p5_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Sound pages and biographies garbled on purpose: whether that is found and undone to the letter."""
+    return encodings.round_trip(_encoded(spark, d), ["kind", "row_id", "page_no"], "text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut by the splitter: biographies and chunks of more than 1,500 characters."""
     bio = splitting.oversized(table(spark, d, "profiles"), ["profile_id"], "biography").select(F.lit("biography").alias("kind"), F.col("profile_id").alias("item_id"))

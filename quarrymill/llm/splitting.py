@@ -32,34 +32,34 @@ LEVELS = tuple(
 )
 
 
-def atoms(text: str, limit: int, start: int = 0, end: int | None = None, level: int = 0) -> list[tuple[int, int]]:
-    """Parts of text[start:end], none longer than ``limit``, cut at the coarsest separators that do."""
+def atoms(text: str, limit: int, step: int, start: int = 0, end: int | None = None, level: int = 0) -> list[tuple[int, int]]:
+    """Parts of text[start:end], none longer than ``limit``, cut at the coarsest separators that do; where there are none, every ``step`` characters."""
     end = len(text) if end is None else end
     if end - start <= limit:
         return [(start, end)] if end > start else []
     if level == len(LEVELS):
-        return [(i, min(i + limit, end)) for i in range(start, end, limit)]
+        return [(i, min(i + step, end)) for i in range(start, end, step)]
     out: list[tuple[int, int]] = []
     at = start
     for m in LEVELS[level].finditer(text, start, end):
         if m.end() > at:
-            out += atoms(text, limit, at, m.end(), level + 1)
+            out += atoms(text, limit, step, at, m.end(), level + 1)
             at = m.end()
-    return out + atoms(text, limit, at, end, level + 1)
+    return out + atoms(text, limit, step, at, end, level + 1)
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """(start, end) of the pieces; one piece for a text within the limit, none for an empty text.
 
     Consecutive pieces share the longest run of whole sentences or words of at most ``overlap`` characters at
-    the end of the first for which the second still holds something new; a text without any boundary shares
-    nothing only if a part fills a piece by itself, in which case the overlap is cut by character.
+    the end of the first for which there is room before the part that follows: a paragraph that fits a piece is
+    never cut for the sake of an overlap. Where there is no boundary, text and overlap are cut by character.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     if len(text) <= limit:
         return [(0, len(text))] if text else []
-    parts = atoms(text, limit - overlap)
+    parts = atoms(text, limit, limit - overlap)
     out: list[tuple[int, int]] = []
     start, end = parts[0]
     for s, e in parts[1:]:

@@ -32,6 +32,14 @@ def test_pieces_cut_at_boundaries():
         splitting.pieces("x", 5, 5)
 
 
+def test_paragraphs_that_fit_are_not_cut():
+    paragraphs = ["a " * 700 + "end.\n\n", "b " * 740 + "end.\n\n", "c " * 600 + "end."]
+    text = "".join(paragraphs)
+    p = splitting.pieces(text)
+    ends = np.cumsum([len(x) for x in paragraphs]).tolist()
+    assert [e for _, e in p] == ends and p[1][0] >= ends[0] - 150 and all(e - s <= 1500 for s, e in p)
+
+
 def test_split_rows(spark):
     rows = [(1, "a" * 1500), (2, "b " * 800), (2, "b " * 800), (3, None), (4, ""), (5, "é😀" * 1000)]
     df = spark.createDataFrame([(*r, 0, "z") for r in rows], "id long, text string, piece_no int, start string")
@@ -188,6 +196,22 @@ def test_garbled_text_is_found_and_restored(spark):
     assert encodings.garbled(df.limit(0), ["id"], "t").count() == 0
 
 
+def test_references_are_read_as_characters(spark):
+    rows = [(n, t + f" {k}.") for n, (k, t) in enumerate((k, t) for k in range(40) for t in CLEAN)]
+    bad = CLEAN[1].encode().decode("cp1252")
+    refs = "".join(c if c.isascii() else f"&#{ord(c)};" for c in bad)
+    good = "".join(c if c.isascii() else f"&#x{ord(c):x};" for c in CLEAN[5])
+    rows += [(9000, refs), (9001, good), (9002, "R&D &amp; &#39;x&#39; &#9999999999; &unknown;"), (9003, refs + " &lt;b&gt;")]
+    got = {r["id"]: r["restored"] for r in encodings.garbled(spark.createDataFrame(rows, "id long, t string"), ["id"], "t", with_text=True).collect()}
+    assert got == {9000: CLEAN[1], 9003: CLEAN[1] + " &lt;b&gt;"}
+
+
+def test_text_garbled_on_purpose_comes_back(spark):
+    rows = [(n, t + f" {k}.") for n, (k, t) in enumerate((k, t) for k in range(40) for t in CLEAN)]
+    got = encodings.round_trip(spark.createDataFrame(rows, "id long, t string"), ["id"], "t").collect()
+    assert len(got) > 150 and sum(r["found"] for r in got) >= 0.97 * len(got) and sum(r["restored"] for r in got) >= 0.9 * len(got)
+
+
 # ---- pages -------------------------------------------------------------------------------------------------
 
 
