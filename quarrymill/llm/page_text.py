@@ -397,13 +397,12 @@ class LineModel:
         """The score of each (text, links only); new lines are scored in one go."""
         if len(self.known) > KNOWN:
             self.known.clear()
-        keys = [(plain(t), linked) for t, linked in lines]
-        new = [k for k in dict.fromkeys(keys) if k not in self.known]
+        new = [k for k in dict.fromkeys(lines) if k not in self.known]
         if new:
-            at, of = line_features(new, self.hashes)
+            at, of = line_features([(plain(t), linked) for t, linked in new], self.hashes)
             total, n = np.bincount(of, weights=self.odds[at], minlength=len(new)), np.bincount(of, minlength=len(new))
             self.known.update(zip(new, np.clip(total / np.sqrt(n) + 0.4, -4, 4).tolist()))
-        return np.array([self.known[k] for k in keys])
+        return np.array([self.known[k] for k in lines])
 
     def score(self, text: str, linked: bool) -> float:
         return float(self.scores([(text, linked)])[0])
@@ -412,6 +411,7 @@ class LineModel:
 def main_lines(sizes: list[int], kinds: bytes, shared: bytes, scores: np.ndarray, residue: list[float] | None = None) -> list[int]:
     """Numbers of the lines of the main body. ``residue``: the share of residue of each line, which then counts as if it were content."""
     blocks: list[list[tuple[int, float]]] = [[]]
+    scores = scores.tolist()
     for i, kind in enumerate(kinds):
         if kind == BOUNDARY:
             if blocks[-1]:
@@ -559,13 +559,19 @@ def read_pages(pages: DataFrame, keys: list[str], url: str, html: str, seeds: Da
         for b in batches:
             texts, marks, shared = (b.column(c).to_pylist() for c in ("_texts", "_kinds", "shared"))
             scores, bodies, sizes = [], [], []
-            for ts, ks, ms in zip(texts, marks, shared):
-                s = np.zeros(len(ts), np.float32)
-                s[[i for i, t in enumerate(ts) if t]] = model.scores([(t, k == LINKED) for t, k in zip(ts, ks) if t])
-                body = main_lines([len(t) for t in ts], ks, ms, s)
-                scores.append(s.tobytes())
-                bodies.append(np.array(body, np.int32).tobytes())
-                sizes.append(sum(len(ts[i]) for i in body))
+            for lo in range(0, len(texts), PAGES):
+                part = list(zip(texts[lo : lo + PAGES], marks[lo : lo + PAGES], shared[lo : lo + PAGES]))
+                flat = model.scores([(t, k == LINKED) for ts, ks, _ in part for t, k in zip(ts, ks) if t])
+                at = 0
+                for ts, ks, ms in part:
+                    filled = [i for i, t in enumerate(ts) if t]
+                    s = np.zeros(len(ts), np.float32)
+                    s[filled] = flat[at : at + len(filled)]
+                    at += len(filled)
+                    body = main_lines([len(t) for t in ts], ks, ms, s)
+                    scores.append(s.tobytes())
+                    bodies.append(np.array(body, np.int32).tobytes())
+                    sizes.append(sum(len(ts[i]) for i in body))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(scores, pa.binary()), pa.array(bodies, pa.binary()), pa.array(sizes, pa.int32())], [*rest, "scores", "body", "size"])
 
     lines = "_texts array<string>, _kinds binary, _notices array<string>, shared binary, scores binary, body binary"
