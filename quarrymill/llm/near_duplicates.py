@@ -154,11 +154,13 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, threshold: float) -> Da
     frag_of_rank, blocks = fragments_of(places[order], int(np.clip(places.sum() // slots(spark), 1, FRAGMENT)), SPLIT)
     frag_of_slot = np.empty(len(counts), np.int32)
     frag_of_slot[order] = frag_of_rank
-    shared = sc.broadcast((frag_of_slot, blocks))
-    groups = int((blocks * (blocks + 1) // 2).sum())
+    # fragments and their pairs of blocks are dealt out in turn, not by hash, which would give some tasks several
+    before = np.cumsum(blocks * (blocks + 1) // 2)
+    tasks = max(slots(spark), min(int(before[-1]), MOST_TASKS))
+    shared = sc.broadcast((frag_of_slot, blocks, np.r_[0, before[:-1]]))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rk, (fr, cut) = ranks.value, shared.value
+        rk, (fr, cut, first) = ranks.value, shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 1 << 15):
                 b = whole.slice(lo, 1 << 15)
@@ -199,9 +201,9 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, threshold: float) -> Da
                         there, place = np.unique(own[w], return_inverse=True)
                         width = 2 if at[w].max() < 1 << 16 else 4
                         row = (tok[w].tobytes(), place.astype("<u2").tobytes(), at[w].astype(f"<u{width}").tobytes(), width, keys[there].tobytes(), ns[there].tobytes(), bits[there].tobytes(), wide[there[ns[there] > LONG]].tobytes())
-                        rows += [(f, i, j, int(cut[f]), *row) for i, j in to]
-                kinds = [pa.int32()] * 4 + [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["frag", "i", "j", "blocks", "tok", "own", "at", "width", "key", "n", "bits", "wide"])
+                        rows += [(int(first[f] + j * (j + 1) // 2 + i) % tasks, f, i, j, int(cut[f]), *row) for i, j in to]
+                kinds = [pa.int32()] * 5 + [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["task", "frag", "i", "j", "blocks", "tok", "own", "at", "width", "key", "n", "bits", "wide"])
 
     def overlaps(key: tuple, table: pa.Table) -> pa.Table:
         def column(name: str, kind: str) -> list[np.ndarray]:
@@ -216,7 +218,7 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, threshold: float) -> Da
         wide = np.concatenate(column("wide", "<u8")).reshape(-1, WIDE // 64)
         keys, sizes = np.concatenate(keys), np.concatenate(sizes).astype(np.int64)
         wide_at = np.cumsum(sizes > LONG) - 1
-        apart = key[1].as_py() != key[2].as_py()
+        apart = key[2].as_py() != key[3].as_py()
         block = _block_of(keys, table.column("blocks")[0].as_py()) if apart else None
         own, n = keys[doc], sizes[doc]
         # within a gram: by size, then key; a text then meets only those not smaller than itself
@@ -256,9 +258,9 @@ def similar_classes(reps: DataFrame, counts: np.ndarray, threshold: float) -> Da
             return _pair_table(*(np.empty(0, np.int64) for _ in range(7)))
         return _pair_table(*(_sum_pairs(*(np.concatenate(c) for c in zip(*out))) if len(out) > 1 else out[0]))
 
-    form = "frag int, i int, j int, blocks int, tok binary, own binary, at binary, width int, key binary, n binary, bits binary, wide binary"
-    sent = reps.select("key", "n", "grams").mapInArrow(spread, form).repartition(max(slots(spark), min(groups, MOST_TASKS)), "frag", "i", "j")
-    pairs = sent.groupBy("frag", "i", "j").applyInArrow(overlaps, "x long, y long, nx int, ny int, cnt int, px int, py int")
+    form = "task int, frag int, i int, j int, blocks int, tok binary, own binary, at binary, width int, key binary, n binary, bits binary, wide binary"
+    sent = reps.select("key", "n", "grams").mapInArrow(spread, form).repartitionById(tasks, "task")
+    pairs = sent.groupBy("task", "frag", "i", "j").applyInArrow(overlaps, "x long, y long, nx int, ny int, cnt int, px int, py int")
     possible = (
         pairs.groupBy("x", "y")
         .agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("cnt").alias("cnt"), F.max("px").alias("px"), F.max("py").alias("py"))
