@@ -393,14 +393,13 @@ def _given_costs(spelled: DataFrame) -> DataFrame:
     short = nick.select(F.col("nick").alias("g"), "c", F.lit(NICKNAME).alias("cost"))
     # a misprinted short form
     keys = nick.where("length(nick) > 2").withColumn("k", F.explode(_shortened("nick")))
-    missed = forms.select(F.col("given").alias("g"), "k").join(keys.hint("merge"), "k").where("g <> nick").select("g", "nick", "c").distinct()
+    missed = forms.select(F.col("given").alias("g"), "k").join(F.broadcast(keys), "k").where("g <> nick").select("g", "nick", "c").distinct()
     missed = missed.where((_apart("g", "nick") == 1) & (F.least(F.length("g"), F.length("c")) >= 4)).select("g", "c", F.lit(2 * GIVEN_EDIT).alias("cost"))
-    missed = missed.join(nick.select(F.col("nick").alias("g")).distinct().hint("merge"), "g", "left_anti")
+    missed = missed.where(~F.col("g").isin(*NICKNAMES))
     costs = short.unionByName(typo).unionByName(missed).groupBy("g", "c").agg(F.min("cost").alias("cost"))
     # a short form is no canonical form of a name that is none
-    known = nick.select("nick").distinct()
-    costs = costs.join(known.select(F.col("nick").alias("g"), F.lit(True).alias("g_nick")).hint("merge"), "g", "left").join(known.select(F.col("nick").alias("c"), F.lit(True).alias("c_nick")).hint("merge"), "c", "left")
-    return stored(costs.where("c_nick is null or g_nick is not null").select("g", "c", "cost", F.col("g_nick").isNotNull().alias("g_nick")), "given_costs")
+    g_nick = F.col("g").isin(*NICKNAMES)
+    return stored(costs.where(g_nick | ~F.col("c").isin(*NICKNAMES)).withColumn("g_nick", g_nick), "given_costs")
 
 
 def _persons(named: DataFrame, stats: DataFrame) -> DataFrame:
@@ -410,27 +409,21 @@ def _persons(named: DataFrame, stats: DataFrame) -> DataFrame:
     and what two spellings have in common is counted by joining their details, never gathered.
     """
     common = stats.select(F.col("t").alias("given"), F.col("a").alias("common"))
-    spelled = named.groupBy("family", "given").agg(F.count("*").alias("n")).join(common.hint("merge"), "given", "left")
-    spelled = stored(spelled.select("family", "given", "n", (F.log("n") + 0.5 * F.log1p(F.coalesce("common", F.lit(0)))).alias("strength")), "spelled")
+    spelled = named.groupBy("family", "given").agg(F.count("*").alias("n"), F.max(F.size("details") > 0).alias("told")).join(common.hint("merge"), "given", "left")
+    spelled = stored(spelled.select("family", "given", "n", "told", (F.log("n") + 0.5 * F.log1p(F.coalesce("common", F.lit(0)))).alias("strength")), "spelled")
     facts = stored(named.select("family", "given", F.explode("details").alias("fact")).distinct(), "facts")
     costs = _given_costs(spelled)
-    nick = costs.where("g_nick").select(F.col("g").alias("given")).distinct()
-    own = spelled.join(nick.withColumn("_nick", F.lit(True)).hint("merge"), "given", "left")
-    own = own.select("family", F.col("given").alias("g"), F.col("given").alias("c"), (F.col("strength") + F.when((F.length("given") > 1) & F.col("_nick").isNull(), 0.0).otherwise(NO_FORM)).alias("score"))
-
-    left = spelled.select("family", F.col("given").alias("g"), F.col("strength").alias("sg"))
-    right = spelled.where("length(given) > 1").select("family", F.col("given").alias("c"), F.col("strength").alias("sc"))
-    near = left.join(costs.hint("merge"), "g").join(right.hint("merge"), ["family", "c"]).where("g_nick or sc >= sg").select("family", "g", "c", "cost", "sc")
-    initial = left.where("length(g) = 1").join(right.withColumn("g", F.substring("c", 1, 1)).hint("merge"), ["family", "g"]).select("family", "g", "c", F.lit(INITIAL).alias("cost"), "sc")
+    whole_name = (F.length("given") > 1) & ~F.col("given").isin(*NICKNAMES)
+    own = spelled.select("family", F.col("given").alias("g"), F.col("given").alias("c"), (F.col("strength") + F.when(whole_name, 0.0).otherwise(NO_FORM)).alias("score"))
+
+    left = spelled.select("family", F.col("given").alias("g"), F.col("strength").alias("sg"), F.col("told").alias("told_g"))
+    right = spelled.where("length(given) > 1").select("family", F.col("given").alias("c"), F.col("strength").alias("sc"), F.col("told").alias("told_c"))
+    near = left.join(costs.hint("merge"), "g").join(right.hint("merge"), ["family", "c"]).where("g_nick or sc >= sg").select("family", "g", "c", "cost", "sc", "told_g", "told_c")
+    initial = left.where("length(g) = 1").join(right.withColumn("g", F.substring("c", 1, 1)).hint("merge"), ["family", "g"]).select("family", "g", "c", F.lit(INITIAL).alias("cost"), "sc", "told_g", "told_c")
     pairs = stored(near.unionByName(initial), "candidates")
     shared = pairs.select("family", "g", "c").join(facts.withColumnRenamed("given", "g").hint("merge"), ["family", "g"]).join(facts.withColumnRenamed("given", "c").hint("merge"), ["family", "c", "fact"]).groupBy("family", "g", "c").agg(F.count("*").alias("common"))
-    told = facts.select("family", "given").distinct()
-    scored = (
-        pairs.join(shared.hint("merge"), ["family", "g", "c"], "left")
-        .join(told.select("family", F.col("given").alias("g"), F.lit(True).alias("_g")).hint("merge"), ["family", "g"], "left")
-        .join(told.select("family", F.col("given").alias("c"), F.lit(True).alias("_c")).hint("merge"), ["family", "c"], "left")
-    )
-    evidence = F.when(F.col("common") > 0, FACT * F.least("common", F.lit(4))).when(F.col("_g") & F.col("_c"), -FACT).otherwise(0.0)
+    scored = pairs.join(shared.hint("merge"), ["family", "g", "c"], "left")
+    evidence = F.when(F.col("common") > 0, FACT * F.least("common", F.lit(4))).when(F.col("told_g") & F.col("told_c"), -FACT).otherwise(0.0)
     found = own.unionByName(scored.select("family", "g", "c", (F.col("sc") - F.col("cost") + evidence).alias("score")))
     canon = found.groupBy("family", "g").agg(F.max_by("c", F.struct("score", "c")).alias("person")).select("family", F.col("g").alias("given"), "person")
     for _ in range(2):  # a form may itself be attached to another
@@ -449,6 +442,7 @@ def _persons(named: DataFrame, stats: DataFrame) -> DataFrame:
     by_fact = alike.join(people.hint("merge"), ["family", "given", "person"]).groupBy("key").agg(F.max_by("person", F.struct(F.col("common") * 3.0 + F.log("n"), "person")).alias("pick"), F.max(F.col("common") * 3.0 + F.log("n")).alias("score"))
     usual = people.groupBy("family", "given").agg(F.max_by("person", F.struct("n", "person")).alias("usual"), F.log(F.max("n")).alias("usual_score"))
     by_row = single.select("key", "family", "given").join(usual.hint("merge"), ["family", "given"]).join(by_fact.hint("merge"), "key", "left").select("key", F.when(F.col("score") >= F.col("usual_score"), F.col("pick")).otherwise(F.col("usual")).alias("pick"))
+    by_row = stored(by_row, "by_row")
     return named.join(whole.hint("merge"), ["family", "given"]).join(by_row.hint("merge"), "key", "left").select("key", F.concat("family", F.lit("|"), F.coalesce("pick", "person")).alias("person"))
 
 

@@ -220,3 +220,20 @@ def test_more_copies_than_neighbours(spark):
     # among equals the first count: the first three of all others, and for each of these three the first of the rest
     first = {(f"c{i:02}", f"c{j:02}") for i in range(3) for j in range(i + 1, 30)}
     assert got == first | {(f"c{i:02}", "d") for i in range(3)}
+
+
+def test_short_surnames_and_hot_families(spark):
+    # one family holds most rows; misprints of short surnames, and ones that stand many times
+    names_ = [("Maria", "Smith")] * 40 + [("Maria", "Smtih"), ("Peter", "Brown"), ("Peter", "Borwn")] + [("Peter", "Brown")] * 20
+    names_ += [("Anna", "Wintermeyer")] * 60 + [("Anna", "Wintermeier")] * 9 + [("Omar", "Hollin")] * 5 + [("Amara", "Hollin")] * 5 + [("Maira", "Smith"), ("M", "Smith"), ("", "Smith")]
+    rows = [(i, f"{g} {s}".strip(), None, None, [f"area {g}{s[:2]}"]) for i, (g, s) in enumerate(names_)] + [(900, None, None, None, None), (901, " ", [], [], [])]
+    df = spark.createDataFrame(rows, "id long, name string, contact array<string>, websites array<struct<text:string,href:string>>, areas array<string>")
+    got = {r["key"]: r["person"] for r in names.same_persons(df, "id", "name", "contact", "websites", ["areas"]).collect()}
+    assert set(got) == set(range(len(names_)))
+    by = {}
+    for i, (g, s) in enumerate(names_):
+        by.setdefault(f"{g} {s}".strip(), set()).add(got[i])
+    assert all(len(v) == 1 for v in by.values())
+    same = lambda a, b: by[a] == by[b]
+    assert same("Maria Smith", "Maria Smtih") and same("Peter Brown", "Peter Borwn") and same("Anna Wintermeyer", "Anna Wintermeier") and same("Maria Smith", "Maira Smith") and same("Maria Smith", "M Smith")
+    assert not same("Omar Hollin", "Amara Hollin") and not same("Maria Smith", "Peter Brown")
