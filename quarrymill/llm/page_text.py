@@ -48,7 +48,7 @@ WORST = -3.0
 PAGES = 200
 KNOWN = 50_000
 #: Share of the pages, and least number of hosts, on which a line that is hardly ever struck counts as repeated over unrelated hosts.
-REPEATED, HOSTS = 0.0005, 3
+REPEATED, HOSTS = 0.0002, 3
 #: Rounds in which the residue model learns from the pages it marks; after the first only pages whose likelihood ratio is not clear.
 ROUNDS = 3
 #: What a line is: nothing to see, text, text that is all link, a container tag.
