@@ -6,8 +6,9 @@ difficulty, the mean band the windows point to, and isotonic regression maps dif
 ever going down. Whether a text is English is told by two models of the same kind on characters.
 
 The models are fitted on a bounded sample of rated rows (SAMPLE of them at most, taken by hash of the id);
-scoring covers every row and the whole of each text. Model tables have a fixed number of slots, so what is
-broadcast never grows with the data.
+scoring covers every row and the whole of each text. Model tables have twice as many slots as the sample has
+different runs, or more: fuller ones give a run the counts of others, and bands look alike. As the sample is
+bounded, what is broadcast never grows with the number of rows.
 """
 
 from __future__ import annotations
@@ -23,20 +24,20 @@ from quarrymill.llm.words import WordHash, _mix, words_of
 
 SAMPLE = 12_000
 WINDOW = 12
-SLOTS = 1 << 17
+SLOTS = 1 << 17  # at least
 SHARES = np.array([0.45, 0.33, 0.2, 0.02])  # of 3, 2, 1 words and of the uniform model
 LANGUAGE_SAMPLE = 4_000
 CHAR_SLOTS = 1 << 16
 LEAST_WORDS = 60
 
 
-def _slots(h: np.ndarray) -> list[np.ndarray]:
-    """Slot of each word alone, with the one before and with the two before."""
+def _runs(h: np.ndarray) -> list[np.ndarray]:
+    """Hash of each word alone, with the one before and with the two before."""
     pad = np.r_[np.zeros(2, np.uint64), h]
     one = _mix(pad[2:] + np.uint64(1))
     two = _mix(one * np.uint64(31) + pad[1:-1])
     three = _mix(two * np.uint64(31) + pad[:-2])
-    return [(x >> np.uint64(13)).astype(np.int64) & (SLOTS - 1) for x in (one, two, three)]
+    return [x >> np.uint64(13) for x in (one, two, three)]
 
 
 def _ids(text: str, hashes: WordHash) -> np.ndarray:
@@ -47,40 +48,40 @@ def _ids(text: str, hashes: WordHash) -> np.ndarray:
 class BandModels:
     """Interpolated word models, one per band; ``difficulty`` maps a text to a number that grows with its band."""
 
-    def __init__(self, bands: list[int]):
-        self.bands = bands
-        self.counts = np.zeros((3, len(bands), SLOTS), np.float32)
+    def __init__(self, texts: list[np.ndarray], bands: list[int]):
+        """texts: hashed words of each text; bands: its rating."""
+        self.bands = sorted(set(bands))
         self.edges = np.empty(0)
-
-    def add(self, h: np.ndarray, band: int) -> None:
-        b = self.bands.index(band)
-        for k, s in enumerate(_slots(h)):
-            np.add.at(self.counts[k, b], s, 1)
-
-    def log_tables(self) -> None:
-        """Log probabilities need the shorter run's count: kept as counts, looked up together."""
-        self.total = self.counts[0].sum(axis=1)
-
-    def surprisal(self, h: np.ndarray, minus: int | None = None) -> np.ndarray:
-        """Surprisal of each word under each band's model, words x bands; minus: leave the text itself out of that band."""
-        s1, s2, s3 = _slots(h)
-        c1, c2, c3 = (self.counts[k][:, s].copy() for k, s in enumerate((s1, s2, s3)))
+        self.total = np.zeros(len(self.bands))
+        at = np.array([self.bands.index(b) for b in bands])
+        n = np.array([len(h) for h in texts])
+        np.add.at(self.total, at, n)
+        own = np.repeat(at, n)
+        self.counts = []  # for runs of 1, 2 and 3 words: slots x bands
+        for run in map(np.concatenate, zip(*map(_runs, texts))):
+            slots = max(SLOTS, 1 << (2 * len(np.unique(run)) - 1).bit_length())
+            c = np.bincount((run & np.uint64(slots - 1)).astype(np.int64) * len(self.bands) + own, minlength=slots * len(self.bands))
+            self.counts.append(c.astype(np.min_scalar_type(c.max())).reshape(slots, -1))
+
+    def surprisal(self, h: np.ndarray, minus: dict[int, int] | None = None) -> np.ndarray:
+        """Surprisal of each word under each band's model, words x bands; minus: how often to leave the text itself out of a band."""
+        slots = [(x & np.uint64(len(c) - 1)).astype(np.int64) for x, c in zip(_runs(h), self.counts)]
+        c1, c2, c3 = (c[s].astype(np.float32) for c, s in zip(self.counts, slots))
         total = self.total.copy()
-        if minus is not None:
-            b = self.bands.index(minus)
-            for c, s in ((c1, s1), (c2, s2), (c3, s3)):
-                u, inv, n = np.unique(s, return_inverse=True, return_counts=True)
-                c[b] -= n[inv]
-            total[b] -= len(h)
-        one = (c1 + 0.01) / (total[:, None] + 0.01 * SLOTS)
-        before1 = np.c_[np.zeros((len(self.bands), 1), np.float32), c1[:, :-1]]
-        before2 = np.c_[np.zeros((len(self.bands), 1), np.float32), c2[:, :-1]]
-        two = np.clip(c2, 0, None) / np.maximum(before1, 1)
-        three = np.clip(c3, 0, None) / np.maximum(before2, 1)
+        if minus:
+            times = np.array([minus.get(b, 0) for b in self.bands])
+            for c, s in zip((c1, c2, c3), slots):
+                _, inv, n = np.unique(s, return_inverse=True, return_counts=True)
+                c -= n[inv][:, None] * times
+            total -= len(h) * times
+        one = (c1 + 0.01) / (total + 0.01 * len(self.counts[0]))
+        none = np.zeros((1, len(self.bands)), np.float32)
+        two = c2 / np.maximum(np.r_[none, c1[:-1]], 1)
+        three = c3 / np.maximum(np.r_[none, c2[:-1]], 1)
         p = SHARES[0] * np.minimum(three, 1) + SHARES[1] * np.minimum(two, 1) + SHARES[2] * one + SHARES[3] / SLOTS
-        return -np.log(p).T
+        return -np.log(p)
 
-    def difficulty(self, h: np.ndarray, minus: int | None = None) -> float:
+    def difficulty(self, h: np.ndarray, minus: dict[int, int] | None = None) -> float:
         """Mean over windows of the band they point to, from the distribution of their surprisals."""
         s = self.surprisal(h, minus)
         at = np.arange(0, len(s), WINDOW)
@@ -160,7 +161,7 @@ def _bounded(df: DataFrame, key: str, most: int) -> pd.DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", band: str = "band", sample: int = SAMPLE) -> tuple[BandModels | None, LanguageModel]:
     """Models from at most ``sample`` rated texts and LANGUAGE_SAMPLE texts of each side of the language column.
 
-    Texts rated twice count with each rating. Without rated texts there is no band model and no text gets a band.
+    Texts rated twice count with each rating; what a text is like is told by the models without it and its copies. Without rated texts there is no band model and no text gets a band.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lower(lang).alias("lang")).where((F.length("text") > 0) & F.col("key").isNotNull())
     tag = F.substring("lang", 1, 2)
@@ -175,12 +176,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rated = rated[[h is not None and len(h) >= 20 for h in rated["h"]]]
     if not len(rated):
         return None, model
-    bands = BandModels(sorted(set(rated["band"].astype(int))))
-    for h, b in zip(rated["h"], rated["band"]):
-        bands.add(h, int(b))
-    bands.log_tables()
-    scores = np.array([bands.difficulty(h, int(b)) for h, b in zip(rated["h"], rated["band"])])
-    bands.fit_bands(scores, rated["band"].to_numpy())
+    own = rated["band"].astype(int).tolist()
+    bands = BandModels(list(rated["h"]), own)
+    # equal texts are left out together: a copy that stays would know the text
+    of: dict[str, dict[int, int]] = {}
+    for t, b in zip(rated["text"], own):
+        of.setdefault(t, {})[b] = of.get(t, {}).get(b, 0) + 1
+    score: dict[str, float] = {}
+    for t, h in zip(rated["text"], rated["h"]):
+        if t not in score:
+            score[t] = bands.difficulty(h, of[t])
+    bands.fit_bands(np.array([score[t] for t in rated["text"]]), rated["band"].to_numpy())
     return bands, model
 
 
@@ -194,7 +200,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= 2 * least_words - 1)
     if bands is None:
         return rows.select(F.col("key").alias(key), F.lit(0).alias("band"), F.lit(0.0).alias("difficulty")).limit(0)
-    shared = docs.sparkSession.sparkContext.broadcast((bands, model))  # tables of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((bands, model))  # tables of the bounded sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bm, lm = shared.value

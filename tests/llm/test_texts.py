@@ -153,6 +153,29 @@ def test_bands(spark):
     assert reading_level.reading_levels(d, lab.limit(0)).count() == 0 and reading_level.reading_levels(d.limit(0), lab).count() == 0
 
 
+def test_bands_of_more_runs_than_slots(spark, monkeypatch):
+    # all bands have the same words; only which one follows which tells them apart, in more runs than the least number of slots
+    monkeypatch.setattr(reading_level, "SLOTS", 1 << 9)
+    r = random.Random(6)
+    after = {(b, w): r.sample(range(60), 6) for b in range(1, 5) for w in range(60)}
+
+    def walk(band, n=120):
+        w, out = r.randrange(60), []
+        for _ in range(n):
+            w = r.choice(after[band, w])
+            out.append(f"word{w:02}")
+        return " ".join(out)
+
+    docs = [(i, walk(i % 4 + 1), "en") for i in range(400)]
+    docs += [(1000 + i, t, g) for i, t, g in docs[:40]]  # copies
+    docs += [(2000 + i, "der die das und nicht ist für jeden satz " * 8, "de") for i in range(20)]
+    labels = [(i, i % 4 + 1) for i, _, _ in docs if i < 2000]
+    bands, _ = reading_level.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, band int"))
+    hashes = reading_level.WordHash()
+    held_out = [bands.band(bands.difficulty(reading_level._ids(walk(i % 4 + 1), hashes))) == i % 4 + 1 for i in range(120)]
+    assert sum(held_out) >= 0.95 * len(held_out)
+
+
 def test_isotonic_never_falls():
     rng = np.random.default_rng(0)
     x = rng.random(300)
