@@ -7,13 +7,15 @@ cosine in double precision.
 
 Centroids are fitted on a bounded sample (SAMPLE); every vector is indexed. Equal vectors are one entry until
 the end, so a hot group of copies costs nothing in the index. A cell of more than BLOCK entries is cut into
-blocks that are compared apart, so no task holds more than a block and the queries stream past it.
+blocks that are compared apart, so no task holds more than a block and the queries stream past it. Queries and
+a cell meet in tiles of at most TILE products: a cell grows with the collection, what it takes at once does not.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrymill.runtime import slots, stored
+from quarrymill.runtime import discard, slots, stored
 
 SAMPLE = 40_000
 CELLS_ROOT = 0.25
@@ -30,6 +32,8 @@ MOST_CENTROIDS = 2_048
 #: Entries that lie together: a query sends its vector once to each slab it visits, whatever the number of cells there. Changes no result.
 SLAB = 65_536
 BLOCK = 16_384
+#: Products of queries and entries, rows of a result and pairs compared exactly that are held at once. They change no result.
+TILE, ROWS, PAIRS = 1 << 20, 1 << 16, 1 << 13
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -104,12 +108,14 @@ def entries(df: DataFrame, key: str, vec: str, most: int) -> tuple[DataFrame, Da
 
     flat = stored(src.mapInArrow(raw, f"key {src.schema['key'].dataType.simpleString()}, vec binary"), "vectors")
     signed = flat.select("key", F.xxhash64("vec").alias("h"), F.sha2("vec", 256).alias("sig"))
-    groups = stored(signed.groupBy("h", "sig").agg(F.count("*").alias("copies"), F.min("key").alias("rep")), "groups")
+    classes = stored(signed.groupBy("h", "sig").agg(F.count("*").alias("copies"), F.min("key").alias("rep")), "groups")
     # only the first of many copies need a number: each task keeps no more of a group before the shuffle
     first = signed.withColumn("idx", F.row_number().over(W.partitionBy("h", "sig").orderBy("key"))).where(F.col("idx") <= most).select("key", "idx")
-    reps = stored(flat.join(groups.select(F.col("rep").alias("key"), "copies"), "key").select("key", F.monotonically_increasing_id().alias("entry"), "vec", "copies"), "entries")
-    groups = groups.join(reps.select(F.col("key").alias("rep"), "entry"), "rep").select("h", "sig", "entry", "copies")
+    reps = stored(flat.join(classes.select(F.col("rep").alias("key"), "copies"), "key").select("key", F.monotonically_increasing_id().alias("entry"), "vec", "copies"), "entries")
+    groups = classes.join(reps.select(F.col("key").alias("rep"), "entry"), "rep").select("h", "sig", "entry", "copies")
     named = signed.join(groups, ["h", "sig"]).join(first, "key", "left").select("key", "entry", F.coalesce("idx", F.lit(most + 1)).alias("idx"), "copies")
+    named = stored(named, "named")
+    discard(flat, classes)
     return named, reps.select("entry", "vec", "copies")
 
 
@@ -143,6 +149,84 @@ def slabs_of(counts: np.ndarray, most: int = SLAB) -> np.ndarray:
     return out
 
 
+def tile_pairs(x: np.ndarray, entry: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, row of base, cosine) of the k best entries of each query and their equals, with cosine >= least, tile by tile.
+
+    Products in single precision rule out what can't be among them; all others are compared in double precision.
+    ids: entry of each row of base, sorted; an entry doesn't meet itself.
+    """
+    n = len(base)
+    b = _unit(base).astype(np.float32)
+    slack = (x.shape[1] + 8) * 2.0**-24  # more than products of unit vectors lose in single precision
+    for lo in range(0, len(x), step := max(1, TILE // n)):
+        s = _unit(x[lo : lo + step]).astype(np.float32) @ b.T
+        own = np.searchsorted(ids, entry[lo : lo + step])
+        there = np.flatnonzero(ids[np.minimum(own, n - 1)] == entry[lo : lo + step])
+        s[there, own[there]] = -2
+        hit = s >= max(least - slack, -1.5)
+        many = np.flatnonzero(hit.sum(axis=1) > k)
+        if len(many):
+            t = s[many]
+            hit[many] &= t >= np.partition(t, n - k, axis=1)[:, n - k, None] - 2 * slack
+            crowded = many[hit[many].sum(axis=1) > 4 * k]  # too close for single precision
+            if len(crowded):
+                t = np.where(s[crowded] == -2, -2, _unit(x[lo + crowded]) @ _unit(base).T)
+                hit[crowded] = t >= np.maximum(np.partition(t, n - k, axis=1)[:, n - k, None], max(least, -1.5))
+        i, j = np.nonzero(hit)
+        for p in range(0, len(i), PAIRS):
+            at, to = i[p : p + PAIRS] + lo, j[p : p + PAIRS]
+            score = np.einsum("ij,ij->i", _unit(x[at]), _unit(base[to]))
+            good = score >= least
+            yield at[good], to[good], score[good]
+
+
+def reranked(batches: Iterator[pa.RecordBatch], dim: int, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """(q, n, score, copies) of queries (side 1) and the entries (side 0) of the cells they visit, sorted by slab, part and side."""
+    at, block, sorted_block = None, [], None
+    out, n_out = [], 0
+    for b in batches:
+        slab, part, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("slab", "part", "side"))
+        entry, m = b.column("entry").to_numpy(zero_copy_only=False), b.column("copies").to_numpy(zero_copy_only=False)
+        x = _matrix(b.column("vec"), dim)
+        cells = b.column("cells").to_pylist()
+        cuts = np.flatnonzero(np.r_[True, (np.diff(slab) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0), True])
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            name = (slab[lo], part[lo])
+            if side[lo] == 0:
+                if at != name:
+                    at, block, sorted_block = name, [], None
+                block.append((np.frombuffer(b"".join(cells[lo:hi]), "<i4"), entry[lo:hi], m[lo:hi], x[lo:hi]))
+                continue
+            if at != name:
+                continue  # no entry fell into this part
+            if sorted_block is None:
+                cell, ids, copies, base = (np.concatenate(c) for c in zip(*block))
+                block = []
+                o = np.lexsort((ids, cell))
+                sorted_block = cell[o], ids[o], copies[o], base[o]
+            cell, ids, copies, base = sorted_block
+            want = np.frombuffer(b"".join(cells[lo:hi]), "<i4")
+            who = np.repeat(np.arange(lo, hi), [len(c) // 4 for c in cells[lo:hi]])
+            o = np.argsort(want, kind="stable")
+            want, who = want[o], who[o]
+            edge = np.flatnonzero(np.r_[True, np.diff(want) != 0, True])
+            for p, q in zip(edge[:-1], edge[1:]):
+                first, last = np.searchsorted(cell, [want[p], want[p] + 1])
+                if first == last:
+                    continue
+                w = who[p:q]
+                for i, j, score in tile_pairs(x[w], entry[w], base[first:last], ids[first:last], k, least):
+                    if not len(i):
+                        continue
+                    out.append((entry[w][i], ids[first:last][j], score, copies[first:last][j]))
+                    n_out += len(i)
+                    if n_out >= ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["q", "n", "score", "copies"])
+                        out, n_out = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["q", "n", "score", "copies"])
+
+
 def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, effort: float = EFFORT) -> DataFrame:
     """(q, n, score, copies, rank): for each entry the k most similar others among those visited, with score >= least.
 
@@ -152,10 +236,8 @@ def nearest_entries(vectors: DataFrame, k: int, least: float = -1.0, effort: flo
     """
     spark = vectors.sparkSession
     sizes = [r["d"] for r in vectors.select((F.octet_length("vec") / 4).cast("int").alias("d")).distinct().collect()]  # lengths that occur
-    out = spark.createDataFrame([], "q long, n long, score double, copies long, rank int")
-    for d in sorted(sizes):
-        out = out.unionByName(_nearest_of(vectors.where(F.octet_length("vec") == 4 * d), d, k, least, effort))
-    return out
+    parts = [_nearest_of(vectors.where(F.octet_length("vec") == 4 * d), d, k, least, effort) for d in sorted(sizes)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "q long, n long, score double, copies long, rank int")
 
 
 def _nearest_of(vectors: DataFrame, dim: int, k: int, least: float, effort: float) -> DataFrame:
@@ -228,59 +310,17 @@ def _nearest_of(vectors: DataFrame, dim: int, k: int, least: float, effort: floa
             raw = [x.tobytes() for x in cell.astype("<i4")]
             yield pa.RecordBatch.from_arrays([pa.array(slab_of[cell]), pa.array(part.astype(np.int32)), pa.array(np.zeros(len(e), np.int8)), b.column("entry"), b.column("vec"), b.column("copies"), pa.array(raw, pa.binary())], names)
 
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block, sorted_block = None, [], None
-        for b in batches:
-            slab, part, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("slab", "part", "side"))
-            entry, m = b.column("entry").to_numpy(zero_copy_only=False), b.column("copies").to_numpy(zero_copy_only=False)
-            u = _unit(_matrix(b.column("vec"), dim))
-            cells = b.column("cells").to_pylist()
-            cuts = np.flatnonzero(np.r_[True, (np.diff(slab) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0), True])
-            out = []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                name = (slab[lo], part[lo])
-                if side[lo] == 0:
-                    if at != name:
-                        at, block, sorted_block = name, [], None
-                    block.append((np.frombuffer(b"".join(cells[lo:hi]), "<i4"), entry[lo:hi], m[lo:hi], u[lo:hi]))
-                    continue
-                if at != name:
-                    continue  # no entry fell into this part
-                if sorted_block is None:
-                    cell, ids, copies, base = (np.concatenate(c) for c in zip(*block))
-                    o = np.argsort(cell, kind="stable")
-                    sorted_block = cell[o], ids[o], copies[o], base[o]
-                cell, ids, copies, base = sorted_block
-                want = np.frombuffer(b"".join(cells[lo:hi]), "<i4")
-                who = np.repeat(np.arange(lo, hi), [len(c) // 4 for c in cells[lo:hi]])
-                o = np.argsort(want, kind="stable")
-                want, who = want[o], who[o]
-                edge = np.flatnonzero(np.r_[True, np.diff(want) != 0, True])
-                for p, q in zip(edge[:-1], edge[1:]):
-                    first, last = np.searchsorted(cell, [want[p], want[p] + 1])
-                    if first == last:
-                        continue
-                    w = who[p:q]
-                    s = u[w] @ base[first:last].T
-                    s[entry[w][:, None] == ids[None, first:last]] = -2
-                    if s.shape[1] > k:
-                        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        s = np.where(s >= kth[:, None], s, -2)
-                    i, j = np.nonzero(s >= max(least, -1.5))
-                    if len(i):
-                        out.append((entry[w][i], ids[first:last][j], s[i, j], copies[first:last][j]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["q", "n", "score", "copies"])
-
     near = (
         indexed.mapInArrow(held, form)
         .unionByName(indexed.mapInArrow(asked, form))
         .repartitionById(tasks, F.pmod(F.col("slab") + F.col("part") * 7919, F.lit(tasks)))
         .sortWithinPartitions("slab", "part", "side")
-        .mapInArrow(rerank, "q long, n long, score double, copies long")
+        .mapInArrow(lambda batches: reranked(batches, dim, k, least), "q long, n long, score double, copies long")
     )
     best = W.partitionBy("q").orderBy(F.desc("score"), "n")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = stored(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "near")
+    discard(indexed)
+    return near
 
 
 def similar_pairs(df: DataFrame, key: str, vec: str, k: int = 10, least: float = 0.8) -> DataFrame:
@@ -289,8 +329,7 @@ def similar_pairs(df: DataFrame, key: str, vec: str, k: int = 10, least: float =
     Copies of a vector are each other's most similar vectors; among equals the smaller keys come first.
     """
     members, vectors = entries(df, key, vec, k)
-    members = stored(members, "named")
-    near = stored(nearest_entries(vectors, k, least), "near")
+    near = nearest_entries(vectors, k, least)
     own = vectors.select(F.col("entry").alias("q"), F.col("copies").alias("own"))
     before = F.coalesce(F.sum("copies").over(W.partitionBy("q").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     room = near.join(own, "q").withColumn("room", F.lit(k) - (F.col("own") - 1) - before).where("room > 0").select("q", "n", "score", "room")

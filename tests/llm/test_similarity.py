@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,35 @@ def test_many_copies_stay_linear(spark):
     assert similar_vectors.similar_pairs(df.limit(0), "id", "v").count() == 0
 
 
+def test_a_full_cell_is_compared_in_tiles():
+    # all entries lie in one cell, as in a dense place of a large collection: products are held tile by tile
+    rng = np.random.default_rng(3)
+    n, dim = 6000, 8
+    x = (rng.normal(size=(n, dim)) * 0.3 + 1).astype(np.float32)
+    ids, cell = np.arange(n, dtype=np.int64), np.zeros(1, "<i4").tobytes()
+
+    def batch(side, lo, hi):
+        m = hi - lo
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, side, np.int8)), pa.array(ids[lo:hi]), pa.array([v.tobytes() for v in x[lo:hi]]), pa.array(np.ones(m, np.int64)), pa.array([cell] * m)],
+            ["slab", "part", "side", "entry", "vec", "copies", "cells"],
+        )
+
+    batches = [batch(0, 0, 3000), batch(0, 3000, n), batch(1, 0, 4000)]
+    tracemalloc.start()
+    got = [(r["q"], r["n"], r["score"]) for b in similar_vectors.reranked(iter(batches), dim, 3, 0.5) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4000 * n * 8 / 2  # less than half of all products at once
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    best = {(q, s) for q in range(0, 4000, 97) for s in np.round(np.sort(np.where(ids == q, -2, u[q] @ u.T))[-3:], 12)}
+    top = {}
+    for q, m, s in got:
+        assert q != m
+        top.setdefault(q, []).append(s)
+    assert len(top) == 4000 and {(q, s) for q in range(0, 4000, 97) for s in np.round(sorted(top[q])[-3:], 12)} == best
+
+
 def test_heap_visits_cells_in_order():
     rng = np.random.default_rng(0)
     d1, d2 = rng.random(7), rng.random(9)
